@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p2_split, p4_quality, p6_level, p7_sample, p8_leak, p9_mix
+from scriptorium.llm import p2_split, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
 from scriptorium.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,37 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
+# 5 -----------------------------------------------------------------------------------------------
+
+# papers of one month (or old archive) come through one channel: that is the source that pools evidence
+SOURCE = "regexp_extract(arxiv_id, '^([0-9]{4}|[a-z-]+)', 1)"
+
+
+def _garbled_parts(spark: SparkSession, d: str):
+    return [
+        (table(spark, d, "raw_sections"), "raw_sections.content", "section_id", "content", SOURCE),
+        (table(spark, d, "paper_records"), "paper_records.abstract", "record_id", "abstract", SOURCE),
+    ]
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tok = p5_garbled.words(_garbled_parts(spark, d))
+    return p5_garbled.affected(tok, p5_garbled.estimate(tok))
+
+
+@query("p5_words")
+def p5_words(spark: SparkSession, d: str) -> DataFrame:
+    return p5_garbled.estimate(p5_garbled.words(_garbled_parts(spark, d)))
+
+
+@query("p5_repaired")
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    parts = _garbled_parts(spark, d)
+    tok = p5_garbled.words(parts)
+    return p5_garbled.repaired(parts, tok, p5_garbled.estimate(tok))
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
