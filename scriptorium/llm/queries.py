@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p2_split, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
+from scriptorium.llm import p1_markup, p2_split, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
 from scriptorium.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# 1 -----------------------------------------------------------------------------------------------
+
+
+def _markup_parts(spark: SparkSession, d: str):
+    return [
+        (table(spark, d, "paper_records"), "paper_records.related_work", "record_id", "related_work"),
+        (table(spark, d, "raw_sections"), "raw_sections.content", "section_id", "content"),
+    ]
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_markup.pieces(_markup_parts(spark, d)).select("field", "row_id")
+
+
+@query("p1_clean")
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return p1_markup.cleaned(_markup_parts(spark, d))
+
+
 # 2 -----------------------------------------------------------------------------------------------
 
 
