@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p1_markup, p2_split, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
+from scriptorium.llm import p1_markup, p2_split, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
 from scriptorium.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,19 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return p9_mix.report(counts, rate)
 
 
+# 10 ----------------------------------------------------------------------------------------------
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pii.found(table(spark, d, "documents"), table(spark, d, "paper_metadata")).select("doc_id", "pii_kind")
+
+
+@query("p10_redacted")
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return p10_pii.redacted(table(spark, d, "documents"), table(spark, d, "paper_metadata"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
