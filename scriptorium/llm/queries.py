@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p1_markup, p2_split, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
+from scriptorium.llm import p1_markup, p2_split, p3_names, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
 from scriptorium.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+# 3 -----------------------------------------------------------------------------------------------
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_names.pairs(p3_names.classes(table(spark, d, "paper_metadata")))
+
+
+@query("p3_classes")
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return p3_names.classes(table(spark, d, "paper_metadata"))
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
