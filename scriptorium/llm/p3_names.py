@@ -58,11 +58,15 @@ GROUP_KINDS = {
 }
 
 
-def fold(s: str) -> str:
-    """Lower case without diacritics; ue, oe, ae and u, o, a are one, as are ss and sharp s."""
+def plain(s: str) -> str:
+    """Lower case without diacritics."""
     s = s.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d")
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return re.sub(r"([aou])e+", r"\1", s)
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+
+def fold(s: str) -> str:
+    """plain, with ue, oe, ae and u, o, a as one: umlauts are written either way."""
+    return re.sub(r"([aou])e+", r"\1", plain(s))
 
 
 _INITIALS = re.compile(r"(?:[^\W\d_]\.[ -]?)+(?:[^\W\d_])?|[^\W\d_]")
@@ -99,7 +103,7 @@ def parse(name: str, given: frozenset[str]) -> dict | None:
 
     def clean(tok: str) -> list[str]:
         m = _GLUED.match(tok)
-        return [m[1], tok[m.end() :]] if m and fold(tok) not in given else [tok]
+        return [m[1], tok[m.end() :]] if m and plain(tok) not in given else [tok]
 
     toks = [t for p in (parts if not inverted else parts[:2]) for t in ["|", *[c for x in p.split(" ") for c in clean(x)]]][1:]
     toks = [t for t in toks if fold(t).replace(".", "") not in SUFFIXES or len(t) <= 2]
@@ -109,18 +113,19 @@ def parse(name: str, given: frozenset[str]) -> dict | None:
     else:
         fam, giv = _order(toks, given, shouting)
     fam = [t for t in fam if fold(t) not in PARTICLES] or fam
-    key = re.sub(r"[^a-z0-9Ͱ-￿]", "", fold("".join(fam)))
+    raw = re.sub(r"[^a-z0-9Ͱ-￿]", "", plain("".join(fam)))
+    key = fold(raw)
     if not key:
         return None
     full, ini = "", ""
     for t in giv:
-        i = _initials(t, shouting and fold(t) not in given)
+        i = _initials(t, shouting)
         if shouting and i is None and len(t) == 1:
             i = fold(t)
         if i is not None:
             ini += i
         elif fold(t) not in PARTICLES:
-            w = re.sub(r"[^a-zͰ-￿-]", "", fold(t))
+            w = re.sub(r"[^a-zͰ-￿-]", "", plain(t))
             if not full:
                 full = w
                 ini += "".join(p[0] for p in w.split("-") if p)
@@ -128,14 +133,14 @@ def parse(name: str, given: frozenset[str]) -> dict | None:
                 ini += w[:1]
     if not full and not ini:
         full = ""
-    return {"kind": "p", "family": key, "given": full, "initials": ini, "nick": fold(nick[1]) if nick else "", "topic": ""}
+    return {"kind": "p", "family": key, "given": full, "initials": ini, "nick": plain(nick[1]) if nick else "", "topic": "", "raw": raw}
 
 
 def _order(toks: list[str], given: frozenset[str], shouting: bool) -> tuple[list[str], list[str]]:
     """(family tokens, given tokens) of a name without comma."""
     if len(toks) == 1:
         return toks, []
-    low = [fold(t) for t in toks]
+    low = [plain(t) for t in toks]
     at = next((i for i, t in enumerate(low) if t in PARTICLES), None)
     if at is not None:
         end = at
@@ -166,7 +171,7 @@ def _group(s: str, flat: str) -> dict | None:
                 head, topic = rest[0], rest[1:]
             if not topic and k in ("group", "team", "project", "lab"):
                 return None
-            return {"kind": "g", "family": head, "given": GROUP_KINDS[k], "initials": "".join(w[0] for w in topic) if not (len(topic) == 1 and len(topic[0]) <= 3) else topic[0], "nick": "", "topic": " ".join(topic)}
+            return {"kind": "g", "family": head, "given": GROUP_KINDS[k], "initials": "".join(w[0] for w in topic) if not (len(topic) == 1 and len(topic[0]) <= 3) else topic[0], "nick": "", "topic": " ".join(topic), "raw": head}
     return None
 
 
@@ -310,22 +315,22 @@ def given_names(names: DataFrame) -> frozenset[str]:
     l = p.groupBy("last").agg(F.count(F.lit(1)).alias("m"))
     top = f.agg(F.max("n")).first()[0] or 0
     rows = f.filter(F.col("n") >= max(2, 0.15 * top)).join(l, F.col("first") == F.col("last"), "left").filter(F.col("n") > 2 * F.coalesce("m", F.lit(0))).select("first").collect()
-    return frozenset(fold(r[0]) for r in rows) - PARTICLES - {"the"}
+    return frozenset(plain(r[0]) for r in rows) - PARTICLES - {"the"}
 
 
 def _parse_batches(given: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(nm, n, p) for nm, n in zip(b["name"].to_pylist(), b["n"].to_pylist()) if (p := parse(nm, given))]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], *[[r[2][k] for r in rows] for k in ("kind", "family", "given", "initials", "nick", "topic")]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(cols)], names=["name", "n", "kind", "family", "given", "initials", "nick", "topic"])
+            cols = [[r[0] for r in rows], [r[1] for r in rows], *[[r[2][k] for r in rows] for k in ("kind", "family", "given", "initials", "nick", "topic", "raw")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(cols)], names=["name", "n", "kind", "family", "given", "initials", "nick", "topic", "raw"])
 
     return run
 
 
 def parsed(names: DataFrame) -> DataFrame:
     ship(names.sparkSession)
-    return names.mapInArrow(_parse_batches(given_names(names)), "name string, n bigint, kind string, family string, given string, initials string, nick string, topic string")
+    return names.mapInArrow(_parse_batches(given_names(names)), "name string, n bigint, kind string, family string, given string, initials string, nick string, topic string, raw string")
 
 
 def _same_given(a: str, b: str) -> bool:
@@ -343,30 +348,26 @@ def _person_edges(established: frozenset[str]):
         home = pdf["center"].iloc[0]
         forms = [tuple(r) for r in pdf[["node", "family", "given", "initials", "n"]].drop_duplicates("node").itertuples(index=False)]
         full = [f for f in forms if f[2]]
-        own = [f for f in full if f[1] == home]
         by_given: dict[str, list[tuple]] = {}
         for f in full:
             by_given.setdefault(f[2], []).append(f)
-        links: dict[str, set[str]] = {}
 
         def link(a: tuple, b: tuple) -> None:
             out.append((a[0], b[0]))
-            links.setdefault(a[0], set()).add(b[0])
 
-        by_letter: dict[str, list[tuple]] = {}
-        for f in full:
-            by_letter.setdefault(f[2][:1], []).append(f)
-        for a in own:
+        for a in full:
             for b in by_given[a[2]]:
-                if b[0] != a[0]:
-                    link(a, b)  # equal given name, equal or neighbouring family
+                # equal given name; families equal, or one of them the center and the other its neighbour
+                if b[0] != a[0] and (home in (a[1], b[1]) or a[1] == b[1]):
+                    link(a, b)
             for g in NICK.get(a[2], ()):
                 for b in by_given.get(g, ()):
-                    link(a, b)
+                    if home in (a[1], b[1]) or a[1] == b[1]:
+                        link(a, b)
             # one edit in the given name: the family must be equal and one of the two no name of its own
             if len(a[2]) >= 3 and a[2] not in established:
-                for b in own:
-                    if b[2] != a[2] and within_one(a[2], b[2]) and (b[2] in established or b[4] >= a[4]):
+                for b in full:
+                    if b[1] == a[1] and b[2] != a[2] and (within_one(a[2], b[2]) or fold(a[2]) == fold(b[2])) and (b[2] in established or b[4] >= a[4]):
                         link(a, b)
         # initials: to the only person they fit
         groups: dict[str, str] = {}
@@ -445,8 +446,12 @@ def classes(meta: DataFrame, column: str = "authors") -> DataFrame:
     p = durable(parsed(distinct_names(meta, column)).withColumn("node", F.concat_ws("\x1f", "kind", "family", "given", "initials", "topic")))
     p = p.withColumn("node", F.when(F.col("kind") == "p", F.concat_ws("\x1f", F.lit("p"), "family", F.when(F.col("given") != "", F.col("given")).otherwise(F.concat(F.lit("."), F.col("initials"))))).otherwise(F.col("node")))
     nodes = durable(p.groupBy("node", "kind", "family", "given", "topic").agg(F.max_by("initials", F.struct(F.length("initials"), "initials")).alias("initials"), F.sum("n").alias("n")))
-    near = neighbours(nodes.select(F.concat(F.col("kind"), F.col("family")).alias("point")).distinct())
-    near = near.filter(F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    # a key is a point as it is written and with its umlauts folded; either may be near another key
+    key = F.concat("kind", "family")
+    points = durable(p.select(F.concat("kind", "raw").alias("point"), key.alias("key")).union(p.select(key.alias("point"), key.alias("key"))).distinct())
+    near = neighbours(points.select("point").distinct()).filter(F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    ka, kb = points.select(F.col("point").alias("a"), F.col("key").alias("ka")), points.select(F.col("point").alias("b"), F.col("key").alias("kb"))
+    near = near.join(ka, "a").join(kb, "b").filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
     keyed = nodes.withColumn("point", F.concat(F.col("kind"), F.col("family")))
     # each key with itself and its neighbours: what a center has to compare
     star = near.select(F.col("a").alias("center"), F.col("b").alias("point")).unionByName(keyed.select(F.col("point").alias("center"), "point").distinct())
