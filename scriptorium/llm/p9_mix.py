@@ -96,7 +96,8 @@ def emit(counts: DataFrame, rate: DataFrame, key: str = "doc_id", seed: int = 20
     d = counts.join(F.broadcast(r), "source")
     u = F.pmod(F.xxhash64(F.col(key), F.col("plan_id"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     copies = F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("bigint")
-    return d.withColumn("_n", copies).filter("_n > 0").select("plan_id", key, "source", F.explode(F.sequence(F.lit(1), F.col("_n"))).cast("int").alias("copy_no"), "tokens")
+    d = d.withColumn("_n", copies).filter("_n > 0").select("plan_id", key, "source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"), "tokens")
+    return d.withColumn("copy_no", F.col("copy_no").cast("int"))
 
 
 def report(counts: DataFrame, rate: DataFrame, key: str = "doc_id", seed: int = 20) -> DataFrame:

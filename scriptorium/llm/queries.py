@@ -207,7 +207,13 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return counts, p9_mix.rates(counts, table(spark, d, "mix_weights"))
 
 
-@query("p9_found")
+@query(
+    "p9_found",
+    # any tokenizer gives the same answer; SQL counts the pieces before the merges
+    r"""WITH have AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, sum(len(regexp_extract_all(text, ' ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+'))) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)
+        SELECT w.plan_id, w.source FROM mix_weights w LEFT JOIN have h ON h.source = lower(regexp_replace(w.source, '^\s+|\s+$', '', 'g'))
+        WHERE w.target_share * w.total_tokens > w.max_repeats * coalesce(h.n, 0)""",
+)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1].filter("falls_short").select("plan_id", "source")
 
