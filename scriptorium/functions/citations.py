@@ -14,11 +14,14 @@ PATTERNS = ("list_style", "author_named", "verb_led", "parenthetical")
 BEFORE = 80
 
 
-def contexts(text: Column | str) -> Column:
-    """The BEFORE characters before each citation marker, earlier markers as words, ends stripped.
-    Splitting once gives all of them; the marker before a piece is put back."""
-    t = F.col(text) if isinstance(text, str) else text
-    parts = F.split(t, r"<cit\.>")
+def pieces(text: Column | str) -> Column:
+    """The text between citation markers."""
+    return F.split(F.col(text) if isinstance(text, str) else text, r"<cit\.>")
+
+
+def contexts(parts: Column) -> Column:
+    """The BEFORE characters before each citation marker, earlier markers as words. parts must be a column
+    that holds pieces(text): inside the lambda an expression would be evaluated for every citation."""
     n = F.size(parts)
     one = lambda i: F.regexp_replace(F.right(F.array_join(F.slice(parts, F.greatest(F.lit(1), i - 20), F.least(i, F.lit(21))), "<cit.>"), F.lit(BEFORE)), r"<cit\.>", "CITATION")
     # a context of 80 characters holds at most 13 earlier markers of 6 characters each

@@ -102,7 +102,7 @@ def mattr_array(lower_words: Column, window: int = 50) -> Column:
 def alpha_ratio(clean: Column | str) -> Column:
     """Letters over non-blank characters; 0 for an empty text."""
     solid = F.length(F.regexp_replace(_c(clean), r"\s+", ""))
-    return F.when(solid == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(_c(clean), r"[^\p{L}]", "")) / solid)
+    return F.when(solid == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(_c(clean), r"[^\p{L}]+", "")) / solid)
 
 
 # ------------------------------------------------------------------------------------ passive voice

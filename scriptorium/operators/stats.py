@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.session import durable
+
 FIRST, SECOND = "2015", "2025"
 
 
@@ -167,7 +169,9 @@ def _p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def compare(long: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """ST5: rank test, Welch test and effect sizes of all metrics from two aggregations."""
+    """ST5: rank test, Welch test and effect sizes of all metrics from two aggregations over the values,
+    which are written once."""
+    long = durable(long.select("year_group", "metric", "value"))
     m = mann_whitney(long, first, second).join(moments(long, first, second), "metric")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     m = m.withColumn("cohens_d", cohens_d(n1, n2, F.col("mean1"), F.col("mean2"), F.col("var1"), F.col("var2"))).drop("m1", "m2")
@@ -230,6 +234,7 @@ def _table_tests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def marker_tests(markers: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
     """ST11: prevalence, odds ratio, test of independence, rank test of the rates, both corrections."""
+    markers = durable(markers.select("year_group", "marker", "tier", "per1k", "has"))
     t = contingency(markers, first, second)
     cols = [F.col(x) for x in "abcd"]
     a, b, c, d = (x.cast("double") for x in cols)

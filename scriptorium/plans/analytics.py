@@ -52,7 +52,8 @@ def top_markers(markers: DataFrame, group: str = S.SECOND, n: int = 10) -> DataF
 
 def citation_patterns(p: DataFrame) -> DataFrame:
     """Count of each pattern per paper."""
-    x = p.select(*K.KEYS, F.explode(F.transform(C.contexts("text"), C.pattern)).alias("pattern"))
+    x = p.select(*K.KEYS, C.pieces("text").alias("_p")).select(*K.KEYS, F.explode(C.contexts(F.col("_p"))).alias("_c"))
+    x = x.select(*K.KEYS, C.pattern(F.col("_c")).alias("pattern"))
     return x.groupBy(*K.KEYS, "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 

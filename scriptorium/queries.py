@@ -19,7 +19,7 @@ from scriptorium.operators import sampling as SA
 from scriptorium.operators import scoring as SC
 from scriptorium.operators import stats as S
 from scriptorium.plans import analytics as A
-from scriptorium.session import durable, table
+from scriptorium.session import durable, spread, table
 from scriptorium.sources import sinks
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,7 +285,7 @@ def _(s, d):
 
 @q("X17_alpha_ratio", r"SELECT corpus_id, round(CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) = 0 THEN 0 ELSE length(regexp_replace(t, '[^\p{L}]', '', 'g')) / length(regexp_replace(t, '\s+', '', 'g')) END, 6) AS alpha_ratio FROM (SELECT corpus_id, " + CLEAN.format("raw_text") + " AS t FROM corpus_records)")
 def _(s, d):
-    return rounded(table(s, d, "corpus_records").select("corpus_id", T.alpha_ratio(T.clean_text("raw_text")).alias("alpha_ratio")))
+    return rounded(spread(table(s, d, "corpus_records")).select("corpus_id", T.alpha_ratio(T.clean_text("raw_text")).alias("alpha_ratio")))
 
 
 @q(
@@ -476,7 +476,7 @@ MAN = (
 
 
 def manifest(s, d):
-    return SA.manifest(table(s, d, "corpus_records"))
+    return SA.manifest(spread(table(s, d, "corpus_records")))
 
 
 @q("X18_manifest", "SELECT corpus_id, arxiv_id, year_group, n_files, n_chars, n_words, n_citations, round(n_citations * 100.0 / nullif(n_words, 0), 6) AS cit_per_100_words, round(alpha_ratio, 6) AS alpha_ratio, file_paths FROM mn", MAN)
@@ -597,12 +597,12 @@ def _(s, d):
 
 @query("P7_clean_latex")
 def _(s, d):
-    return table(s, d, "raw_sections").select("section_id", M.clean_latex("content").alias("content"))
+    return spread(table(s, d, "raw_sections")).select("section_id", M.clean_latex("content").alias("content"))
 
 
 @query("C2_C21_clean_chain")
 def _(s, d):
-    return table(s, d, "raw_sections").select("section_id", M.clean_chain("content").alias("content"))
+    return spread(table(s, d, "raw_sections")).select("section_id", M.clean_chain("content").alias("content"))
 
 
 @q("P4_comments", r"SELECT section_id, regexp_replace(regexp_replace(replace(content, '\%', chr(1)), '(?m)%[^\n]*$', '', 'g'), chr(1), '\\%', 'g') AS t FROM raw_sections")
