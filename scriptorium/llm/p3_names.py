@@ -48,7 +48,7 @@ NICKNAMES = (
 )
 NICK = {n: frozenset(full.split()) for n, full in (x.split(":") for x in NICKNAMES.split(","))}
 # fixed values: particles, name suffixes, fillers and words for kinds of groups
-PARTICLES = frozenset("van von der den de la le del della du di da dos das el ter ten zu zur zum af av bin ibn".split())
+PARTICLES = frozenset("van von vonder dela der den de la le del della du di da dos das el ter ten zu zur zum af av bin ibn".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md msc bsc dr prof mr mrs ms".split())
 FILLERS = frozenset(("", "anonymous", "anon", "et al", "etal", "others", "and others", "na", "n a", "none", "null", "unknown", "author", "authors", "unknown author", "tba", "tbd", "various"))
 GROUP_KINDS = {
