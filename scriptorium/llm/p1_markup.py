@@ -3,8 +3,8 @@
 Method: markup is found and converted by a lexer of the four grammars (HTML, LaTeX, wiki, Markdown).
 The suffix array named for this problem finds long runs that pages of a host share; markup in these
 data is mostly one short piece that stands once, so no repeated substring shows it, and removing
-repeated runs would take content away (README). The suffix array is therefore only the second stage,
-shared_runs, on the cleaned texts: boilerplate that pages of one host repeat.
+repeated runs would take content away (README). The suffix array is therefore the second stage,
+p1_shared.shared_runs, on the cleaned texts: boilerplate that pages of one host repeat.
 
 The lexer is one alternation of piece patterns, read from left to right; a piece is a tag, entity,
 command, environment, formula, link, emphasis, heading, list star, table row, fence and so on.

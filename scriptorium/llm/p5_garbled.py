@@ -37,7 +37,7 @@ from scriptorium.session import durable, is_small, ship
 ROUNDS = 3
 SHRINK = 50.0
 CLEAN_PRIOR = 0.97
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 WORD = r"(?<![A-Za-z0-9\-\u0080-￿])[A-Za-z0-9\-]*+[\u0080-￿][A-Za-z0-9\-\u0080-￿]*"
 CLEAN, UNKNOWN, LOST = "clean", "unknown", "lost bytes"
 
@@ -314,7 +314,8 @@ def garbled_words(tok: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def affected(tok: DataFrame, found: DataFrame) -> DataFrame:
-    return garbled_words(tok, found).select("field", "row_id").distinct()
+    """Records with a garbled word. Only the key of the words is needed beside the records."""
+    return garbled_words(tok, found.select("field", "source", "token")).select("field", "row_id").distinct()
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

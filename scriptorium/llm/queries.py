@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p1_markup, p2_split, p3_names, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
+from scriptorium.llm import p1_markup, p1_shared, p2_split, p3_names, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
 from scriptorium.session import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_markup.pieces(_markup_parts(spark, d)).select("field", "row_id")
 
 
+@query("p1_shared_runs")
+def p1_shared_runs(spark: SparkSession, d: str) -> DataFrame:
+    # pages are the cleaned sections, hosts the papers and volumes they belong to
+    s = table(spark, d, "raw_sections")
+    clean = p1_markup.cleaned([(s, "raw_sections.content", "section_id", "content")])
+    pages = clean.join(s.select(F.col("section_id").alias("row_id"), "arxiv_id"), "row_id")
+    return p1_shared.shared_runs(pages, "arxiv_id", "row_id", "clean").withColumnRenamed("row_id", "section_id")
+
+
 @query("p1_clean")
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return p1_markup.cleaned(_markup_parts(spark, d))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import p1_markup, p4_quality, p5_garbled, p6_level, p8_leak, p10_pii
+from scriptorium.llm import p1_markup, p1_shared, p4_quality, p5_garbled, p6_level, p8_leak, p10_pii
 from scriptorium.llm import textbytes as tb
 
 WORDS = [("en", w, i) for i, w in enumerate("the of and in to a that is are for with on it was as by".split(), 1)] + [("de", w, i) for i, w in enumerate("der die das und zu den".split(), 1)]
@@ -71,6 +71,48 @@ def test_markup_operator(spark):
     assert p1_markup.cleaned([(d.limit(0), "f.t", "id", "t")]).count() == 0
 
 
+def covered(pages, width):
+    """Brute force: tokens in a window of width tokens that an earlier page has."""
+    seen, out = {}, []
+    for k, p in enumerate(pages):
+        for i in range(len(p) - width + 1):
+            seen.setdefault(tuple(p[i : i + width]), k)
+    for k, p in enumerate(pages):
+        m = [False] * len(p)
+        for i in range(len(p) - width + 1):
+            if seen[tuple(p[i : i + width])] < k:
+                m[i : i + width] = [True] * width
+        out.append(m)
+    return out
+
+
+def test_shared_runs_both_ways(spark):
+    import random
+
+    rnd = random.Random(5)
+    foot = [f"foot{i}" for i in range(9)]
+    pages = []
+    for k in range(14):
+        p = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 40))]
+        i = rnd.randint(0, len(p))
+        pages.append(p[:i] + (foot if k % 3 else []) + p[i:])
+    pages += [pages[3], []]
+    width = 6
+    want = covered(pages, width)
+    ids = {}
+    flat = [x for k, p in enumerate(pages) for x in [*[ids.setdefault(w, len(ids)) for w in p], -1 - k]]
+    mask = p1_shared.shared_mask(np.array(flat), np.array([k for k, p in enumerate(pages) for _ in range(len(p) + 1)]), width)
+    assert mask.tolist() == [x for m in want for x in [*m, False]]
+    rows = [(k, "h", " ".join(p)) for k, p in enumerate(pages)] + [(90, "other", " ".join(foot)), (91, None, None), (92, None, "")]
+    d = spark.createDataFrame(rows, "page_id long, h string, t string").withColumn("host", F.lit("clash"))
+    for limit in (10**9, 10):  # one task; windows by hash
+        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", "page_id", "t", width, limit).collect()}
+        assert [got[k].shared_tokens for k in range(len(pages))] == [sum(m) for m in want]
+        assert [got[k].unique_text.split() for k in range(len(pages))] == [[w for w, x in zip(p, m) if not x] for p, m in zip(pages, want)]
+        assert got[90].shared_tokens == 0 and got[91].unique_text is None and got[92].unique_text == ""
+    assert p1_shared.shared_runs(d.limit(0), "h", "page_id", "t").count() == 0
+
+
 # ------------------------------------------------------------------------------ quality and level
 
 EASY = "We took the old box home and put it on the desk. It was not hard to lift, but the lid was stuck. My friend had a good plan, so we went on. "
