@@ -85,6 +85,11 @@ def left_metrics(papers: DataFrame, metrics: DataFrame, keys: list[str]) -> Data
     return papers.join(right, keys, "left")
 
 
+def manifest_texts(manifest: DataFrame, papers: DataFrame) -> DataFrame:
+    """J9 and SC13: the texts of manifest rows, by paper and cohort."""
+    return manifest.join(papers, ["arxiv_id", "year_group"])
+
+
 def missing_scores(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """J5 and F12 on a composite key."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -677,6 +677,12 @@ def _(s, d):
     return j.agg(F.count(F.lit(1)).alias("n"), F.count("n_events").alias("covered"))
 
 
+@q("J9_SC13_manifest_texts", "SELECT c.corpus_id, p.arxiv_id, p.year_group, p.part_no, p.n_ws_words FROM (SELECT corpus_id, " + ID.format("arxiv_id") + " AS arxiv_id, year_group FROM corpus_records) c JOIN papers p ON c.arxiv_id = p.arxiv_id AND c.year_group = p.year_group", PAPERS)
+def _(s, d):
+    m = table(s, d, "corpus_records").select("corpus_id", K.canonical_id("arxiv_id").alias("arxiv_id"), "year_group")
+    return R.manifest_texts(m, papers(s, d)).select("corpus_id", *K.KEYS, "n_ws_words")
+
+
 @q("F12_missing_scores", "SELECT arxiv_id, year_group FROM (SELECT DISTINCT arxiv_id, year_group FROM corpus_records) c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.arxiv_id = c.arxiv_id AND d.year_group = c.year_group)")
 def _(s, d):
     return R.missing_scores(table(s, d, "corpus_records").select("arxiv_id", "year_group").distinct(), table(s, d, "documents"), ["arxiv_id", "year_group"])
