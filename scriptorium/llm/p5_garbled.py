@@ -39,6 +39,7 @@ SHRINK = 50.0
 CLEAN_PRIOR = 0.97
 BROADCAST_ROWS = 100_000
 WORD = r"(?<![A-Za-z0-9\-\u0080-￿])[A-Za-z0-9\-]*+[\u0080-￿][A-Za-z0-9\-\u0080-￿]*"
+ODD = r"[\u0080-\u009f\ufffd\u2500-\u25ff]|\p{IsLatin}\p{IsCyrillic}|\p{IsCyrillic}\p{IsLatin}"
 CLEAN, UNKNOWN, LOST = "clean", "unknown", "lost bytes"
 
 # fixed values: pairs of (original encoding, encoding it was read in)
@@ -265,8 +266,9 @@ def estimate(tok: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     by_source = durable(tok.groupBy("field", "source", "token").agg(F.count(F.lit(1)).alias("n")))
     vocab = by_source.groupBy("token").agg(F.sum("n").alias("n"))
     cands = durable(vocab.mapInArrow(_expand, "token string, n bigint, chain string, original string"))
-    # before the first round a word with a control or lost character is taken for garbled, all others for clean
-    post = vocab.select("token", "n", F.lit(CLEAN).alias("chain"), F.col("token").alias("original"), F.when(F.col("token").rlike("[\\u0080-\\u009f\\ufffd]"), 0.0).otherwise(1.0).alias("post"))
+    # before the first round a word with a control, lost or box character, or with letters of two scripts side
+    # by side, is taken for garbled, all others for clean
+    post = vocab.select("token", "n", F.lit(CLEAN).alias("chain"), F.col("token").alias("original"), F.when(F.col("token").rlike(ODD), 0.0).otherwise(1.0).alias("post"))
     prior: dict[str, float] = {}
     others = [*Chains().names, UNKNOWN]
     for _ in range(rounds):
@@ -291,8 +293,9 @@ def estimate(tok: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = F.create_map(*[F.lit(x) for kv in {**prior, LOST: 1.0}.items() for x in kv])
     local = local.join(mass_g, ["field", "source", "chain"]).join(total_g, ["field", "source"])
     p0 = base[F.col("chain")]
-    # in a source the clean mass counts all its words, those that need no decision included
-    ratio = F.when(F.col("chain") == CLEAN, 1.0).otherwise((F.col("w") + SHRINK * p0) / (F.col("total") + SHRINK) / p0)
+    # half of the prior is the source's own, shrunk to the overall one, half is the overall one: a word that
+    # is garbled alone in its source is not explained away by the source
+    ratio = F.when(F.col("chain") == CLEAN, 1.0).otherwise(0.5 + 0.5 * (F.col("w") + SHRINK * p0) / (F.col("total") + SHRINK) / p0)
     scored = local.withColumn("s", F.col("post") * ratio)
     best = scored.groupBy("field", "source", "token").agg(
         F.try_divide(F.sum(F.when(F.col("chain") != CLEAN, F.col("s")).otherwise(0.0)), F.sum("s")).alias("p_garbled"),
