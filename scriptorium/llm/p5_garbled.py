@@ -259,7 +259,7 @@ def words(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
 
 
 def estimate(tok: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(field, source, token, chain, original, p_garbled): the words that are garbled more probably than
+    """(field, source, token, chain, original, p_garbled, everywhere): the words that are garbled more probably than
     not in records of this field and source, with the likeliest chain and original."""
     spark = tok.sparkSession
     ship(spark)
@@ -301,12 +301,15 @@ def estimate(tok: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.try_divide(F.sum(F.when(F.col("chain") != CLEAN, F.col("s")).otherwise(0.0)), F.sum("s")).alias("p_garbled"),
         F.max_by(F.struct("chain", "original"), F.when(F.col("chain") != CLEAN, F.col("s"))).alias("b"),
     )
-    out = best.filter("p_garbled > 0.5").select("field", "source", "token", F.col("b.chain").alias("chain"), F.col("b.original").alias("original"), "p_garbled")
+    best = durable(best.select("field", "source", "token", F.col("b.chain").alias("chain"), F.col("b.original").alias("original"), "p_garbled"))
+    # nearly all garbled words are garbled wherever they stand: those need no source beside them later
+    always = best.groupBy("token").agg(F.min("p_garbled").alias("_least"))
+    out = best.filter("p_garbled > 0.5").join(always, "token").withColumn("everywhere", F.col("_least") > 0.5).drop("_least")
     # lost bytes: the only clean word of that shape, if there is one
     fits = post.filter((F.col("chain") == CLEAN) & (F.col("post") > 0.9)).select(F.regexp_replace("token", "[^\\x00-\\x7f]+", "�").alias("_shape"), "token").groupBy("_shape").agg(F.min("token").alias("_fit"), F.count(F.lit(1)).alias("_k")).filter("_k = 1")
     out = out.withColumn("_shape", F.when(F.col("chain") == LOST, F.regexp_replace("token", "[^\\x00-\\x7f]+", "�")))
     out = out.join(fits, "_shape", "left").withColumn("original", F.coalesce("original", "_fit"))
-    return durable(out.select("field", "source", "token", "chain", "original", "p_garbled"))
+    return durable(out.select("field", "source", "token", "chain", "original", "p_garbled", "everywhere"))
 
 
 def garbled_words(tok: DataFrame, found: DataFrame) -> DataFrame:
@@ -317,8 +320,13 @@ def garbled_words(tok: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def affected(tok: DataFrame, found: DataFrame) -> DataFrame:
-    """Records with a garbled word. Only the key of the words is needed beside the records."""
-    return garbled_words(tok, found.select("field", "source", "token")).select("field", "row_id").distinct()
+    """Records with a garbled word. Words that are garbled everywhere are joined by themselves, the few
+    others with their field and source; either side is broadcast only if it is checked to be small."""
+    small = lambda d: F.broadcast(d) if is_small(d, BROADCAST_ROWS) else d
+    plain = found.filter("everywhere").select("token").distinct().withColumn("_a", F.lit(True))
+    local = found.filter("not everywhere").select("field", "source", "token").withColumn("_b", F.lit(True))
+    j = tok.join(small(plain), "token", "left").join(small(local), ["field", "source", "token"], "left")
+    return j.filter("_a or _b").select("field", "row_id").distinct()
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
