@@ -9,7 +9,8 @@ import from the short specimens below by the same code that measures the texts.
 
 Defined results: null and empty texts, and texts of white space alone, give no row in the verdicts
 and null statistics with n_words 0 in the statistics; equal texts get equal rows; extra columns are
-ignored; a text without any letter has null mean word length.
+ignored; a text without any letter has null mean word length. A text of which markup, code and tables
+are all or nearly all (less than LEFT stands beside them) is measured and compared as it is stored.
 """
 
 from __future__ import annotations
@@ -184,6 +185,27 @@ def plain(text: pa.Array) -> pa.Array:
     return text
 
 
+#: Share of a text's non-blank bytes that plain() has to leave for the rest to speak for the text.
+LEFT = 0.2
+
+
+def ink(text: pa.Array) -> np.ndarray:
+    """Non-blank bytes of each text."""
+    out = [np.zeros(0, np.int64)]
+    for _, _, data, off in tb.chunks(text):
+        out.append(np.diff(np.concatenate(([0], np.cumsum(~_BLANK[data])))[off]))
+    return np.concatenate(out)
+
+
+def judged(text: pa.Array) -> pa.Array:
+    """What is measured: the text without markup, or the stored text where nothing or little is left of it."""
+    import pyarrow.compute as pc
+
+    p = plain(text)
+    whole = ink(text)
+    return pc.if_else(pa.array((whole > 0) & (ink(p) < LEFT * whole)), text, p)
+
+
 def measure(data: np.ndarray, off: np.ndarray, fw: FunctionWords) -> dict[str, np.ndarray]:
     """Counts and distributions of each row of a chunk."""
     n = len(off) - 1
@@ -304,7 +326,7 @@ def _run(words: list[tuple[str, str, int]], id_type: pa.DataType):
             state["p"] = Profiles(words)
         P = state["p"]
         for b in batches:
-            text = plain(b["_text"])
+            text = judged(b["_text"])
             for i, j, data, off in tb.chunks(text):
                 m = measure(data, off, P.fw)
                 best, d, other = P.nearest(m)

@@ -129,6 +129,17 @@ def test_quality(spark):
     assert p4_quality.quality([(d.limit(0), "f", "id", "t")], common(spark)).count() == 0
 
 
+def test_texts_of_markup_alone(spark):
+    pipes = "".join(f"| Net{x} | 6{i}.7 | 4{i}.8 |\n" for i, x in enumerate("ABCDEFG"))
+    code = "for s in sents:\n    total += len(s)\nprint(x_42[68])  # {}\nwhile queue:\n    node = queue.pop()\n"
+    texts = [pipes, "Scores\n" + pipes, f"```\n{code}```", f"\\begin{{lstlisting}}\n{code}\\end{{lstlisting}}", EASY * 3 + "\n" + pipes, "<b></b>", " \n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    r = {x.row_id: x for x in p4_quality.quality([(d, "f", "id", "t")], common(spark)).collect()}
+    assert [r[k].is_prose for k in (0, 1, 2, 3, 4, 6)] == [False, False, False, False, True, None]
+    assert r[5].is_prose is not None and r[0].n_lines == 7 and r[0].n_words == 7
+    assert r[4].n_words == len(EASY.replace(",", "").split()) * 3
+
+
 def test_specimens_are_their_own_profile():
     P = p4_quality.Profiles([(a, b, c) for a, b, c in WORDS])
     for name, (prose, xs) in p4_quality.SPECIMENS.items():
