@@ -113,6 +113,21 @@ def test_shared_runs_both_ways(spark):
     assert p1_shared.shared_runs(d.limit(0), "h", "page_id", "t").count() == 0
 
 
+def test_shared_runs_split_at_all_blanks(spark):
+    foot = [f"foot{i}" for i in range(7)]
+    gaps = ["\u00a0", " ", "\u0085", "\u2003", "\n", "\x1c", "\u3000"]
+    join = lambda ws, k: "".join(w + gaps[(i + k) % len(gaps)] for i, w in enumerate(ws))
+    pages = [[f"p{k}w{i}" for i in range(5 + k)] + foot + [f"p{k}end{i}" for i in range(6)] for k in range(8)]
+    width = 6
+    want = covered(pages, width)
+    d = spark.createDataFrame([(k, "h", join(p, k)) for k, p in enumerate(pages)], "page_id long, h string, t string")
+    for limit in (10**9, 10):
+        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", "page_id", "t", width, limit).collect()}
+        assert [got[k].n_tokens for k in range(len(pages))] == [len(p) for p in pages]
+        assert [got[k].shared_tokens for k in range(len(pages))] == [sum(m) for m in want]
+        assert [got[k].unique_text.split() for k in range(len(pages))] == [[w for w, x in zip(p, m) if not x] for p, m in zip(pages, want)]
+
+
 # ------------------------------------------------------------------------------ quality and level
 
 EASY = "We took the old box home and put it on the desk. It was not hard to lift, but the lid was stuck. My friend had a good plan, so we went on. "
