@@ -139,15 +139,18 @@ def merge_sections(classified: DataFrame, key: str = "arxiv_id", order: str = "s
 
 
 def build_records(meta: DataFrame, merged: DataFrame, raw_counts: DataFrame) -> DataFrame:
-    """PJ1: metadata with the merged sections as records of the output schema."""
-    m = merged.filter("part_no = 0")
-    rw = m.groupBy("arxiv_id").agg(
-        F.max(F.when(F.col("section_type") == H.RELATED, F.col("content"))).alias("_rw"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_order", "section_type"))), lambda x: x["section_type"]), ", ").alias("_found"),
+    """PJ1: metadata with the merged sections as records of the output schema. A paper whose related work
+    comes in parts has a record of each part (part_no); what else a record says is of the whole paper."""
+    related = F.col("section_type") == H.RELATED
+    found = merged.groupBy("arxiv_id").agg(
+        F.max(related & (F.col("content") != "")).alias("_ok"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("part_no") == 0, F.struct("first_order", "section_type")))), lambda x: x["section_type"]), ", ").alias("_found"),
     )
-    j = meta.join(rw, "arxiv_id", "left").join(raw_counts, "arxiv_id", "left")
+    rw = merged.filter(related).select("arxiv_id", "part_no", F.col("content").alias("_rw"))
+    j = meta.join(found, "arxiv_id", "left").join(rw, "arxiv_id", "left").join(raw_counts, "arxiv_id", "left")
     text = F.coalesce("_rw", F.lit(""))
     return j.select(
         "arxiv_id", "title", F.array_join("authors", "; ").alias("authors"), F.array_join("categories", ", ").alias("categories"), "primary_category", "published", "updated", "abstract",
-        text.alias("related_work"), F.lit("latex_parsed").alias("extraction_method"), (text != "").alias("extraction_success"), F.coalesce("_found", F.lit("")).alias("sections_found"), F.coalesce("raw_section_count", F.lit(0)).cast("int").alias("raw_section_count"),
+        text.alias("related_work"), F.lit("latex_parsed").alias("extraction_method"), F.coalesce("_ok", F.lit(False)).alias("extraction_success"), F.coalesce("_found", F.lit("")).alias("sections_found"), F.coalesce("raw_section_count", F.lit(0)).cast("int").alias("raw_section_count"),
+        F.coalesce("part_no", F.lit(0)).cast("bigint").alias("part_no"),
     )

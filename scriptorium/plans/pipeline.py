@@ -78,7 +78,7 @@ class Pipeline:
         merged = self.c.output.rstrip("/") + ".merged"
         sinks.write_records(R.merge_records(FS.existing_records(self.spark, self.c.output), new), merged, self.c.compression)
         sinks.write_records(self.spark.read.schema(PAPER_RECORD).parquet(merged), self.c.output, self.c.compression)
-        sinks.write_progress(new.select("arxiv_id", F.when(F.col("raw_section_count") > 0, "completed").otherwise("failed_parse").alias("status")), self.c.progress)
+        sinks.write_progress(new.filter("part_no = 0").select("arxiv_id", F.when(F.col("raw_section_count") > 0, "completed").otherwise("failed_parse").alias("status")), self.c.progress)
         if self.c.text_export:
             sinks.export_text(sinks.section_table(R.merge_sections(R.classify_sections(sections)).withColumnRenamed("first_order", "section_order"), self.c.related_only), self.c.text_export)
         return new

@@ -19,6 +19,7 @@ PAPER_RECORD = T.StructType(
         T.StructField("extraction_success", T.BooleanType()),
         *_s("sections_found"),
         T.StructField("raw_section_count", T.IntegerType()),
+        T.StructField("part_no", T.LongType()),
     ]
 )
 PROGRESS = T.StructType(_s("arxiv_id", "status"))

@@ -82,8 +82,8 @@ def optional_csv(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def existing_records(spark: SparkSession, path: str) -> DataFrame:
-    """SC15: the previous output, or nothing."""
-    return spark.read.schema(PAPER_RECORD).parquet(path) if exists(spark, path) else spark.createDataFrame([], PAPER_RECORD)
+    """SC15: the previous output, or nothing; output older than part_no has whole papers."""
+    return spark.read.schema(PAPER_RECORD).parquet(path).fillna(0, ["part_no"]) if exists(spark, path) else spark.createDataFrame([], PAPER_RECORD)
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:

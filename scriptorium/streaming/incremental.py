@@ -35,12 +35,17 @@ def merge_batch(out: str, transform: Callable[[DataFrame], DataFrame], key: str
 
 
 def latest(spark: SparkSession, out: str, key: str = "arxiv_id") -> DataFrame | None:
-    """The merged view of all batches: the newest record of each key."""
+    """The merged view of all batches: the newest record of each key; of records in parts, those of the key's
+    newest batch."""
     from pyspark.sql import functions as F
 
     if not exists(spark, out):
         return None
     d = spark.read.parquet(out)
+    if "part_no" in d.columns:
+        newest = d.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_batch"))
+        d = d.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col("batch") == F.col("_batch"))).drop("_key", "_batch")
+        return R.latest_records(d, F.struct(key, "part_no"), F.col("batch")).drop("batch")
     return R.latest_records(d, F.col(key), F.col("batch")).drop("batch")
 
 

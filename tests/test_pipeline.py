@@ -48,6 +48,21 @@ def test_merge_and_records(spark):
     assert out["q"].related_work == "" and out["q"].extraction_success is False and out["q"].raw_section_count == 0
 
 
+def test_records_keep_all_parts(spark, tmp_path):
+    s = spark.createDataFrame([(k, "p", "Related Work" if k % 2 else "Methods", f"{k}" * 30, k) for k in range(8)], "section_id long, arxiv_id string, heading string, content string, section_order int")
+    meta = spark.createDataFrame([("p", "T", ["x"], ["cs.A"], "cs.A", "2015-01-01", "u", None, None), ("q", "U", [], [], None, None, None, None, None)], PAPER_METADATA)
+    n = s.groupBy("arxiv_id").agg(F.count(F.lit(1)).alias("raw_section_count"))
+    out = R.build_records(meta, R.merge_sections(R.classify_sections(s), part_chars=50), n)
+    got = sorted((r.arxiv_id, r.part_no, r.related_work, r.extraction_success, r.sections_found, r.raw_section_count) for r in out.collect())
+    assert len(got) == 3 and [r[1] for r in got] == [0, 1, 0]
+    assert "\n\n".join(r[2] for r in got[:2]) == "\n\n".join(str(k) * 30 for k in (1, 3, 5, 7))
+    assert {r[3:] for r in got[:2]} == {(True, "other, related_work", 8)} and got[2][2:] == ("", False, "", 0)
+    path = str(tmp_path / "batches")
+    for b in (0, 1):
+        I.merge_batch(path, lambda x: x)(out, b)
+    assert sorted((r.arxiv_id, r.part_no) for r in I.latest(spark, path).collect()) == [("p", 0), ("p", 1), ("q", 0)]
+
+
 def test_joins(spark):
     p = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "arxiv_id string")
     pr = spark.createDataFrame([("a", "completed"), ("b", "pending")], "arxiv_id string, status string")
