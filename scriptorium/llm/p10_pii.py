@@ -7,9 +7,9 @@ skip edges, and loopy message passing makes their labels agree. A label run coun
 an exact check of its kind.
 
 The weights are trained by pseudo-likelihood on a bounded sample (TRAIN_DOCS documents) labelled by
-strict full patterns (distant supervision); given and family names come from the author lists of a
-bounded sample of papers (MAX_PAPERS, by hash; all papers up to that number). What is sent to the
-tasks is the model and these names, bounded by the samples.
+strict full patterns (distant supervision); given and family names come from the author lists of all
+papers. What is sent to the tasks is the model, the given names and a hash (8 bytes) of each distinct
+family name.
 
 Kinds: email, phone, id_number, address, person. Family names alone, names inside an email address and
 numbers of works, grants or reports stay.
@@ -40,7 +40,6 @@ ROUNDS = 60
 CONTEXT = 100
 SKIP_STRENGTH = 0.6
 BP_ROUNDS = 3
-MAX_PAPERS = 1_000_000
 BUCKETS = 1 << 15
 
 # fixed values: words that announce a kind of personal data or a part of it
@@ -97,12 +96,20 @@ class Names:
         return bool(tb.member(np.array([tb.hash_word(word)], np.uint64), self.family)[0][0])
 
 
-def name_lists(authors: DataFrame, column: str = "authors", max_papers: int = MAX_PAPERS) -> tuple[list[str], np.ndarray]:
-    """Given names (tokens that stand first with several families) and family names of the author lists of
-    at most about max_papers papers. Distinct tokens, counted on the executors."""
-    n = authors.count()
-    if n > max_papers:
-        authors = authors.filter(F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) < int(max_papers / n * (1 << 30)))
+def _name_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(given, family): the word of a given name, the hash of a family name."""
+    for b in batches:
+        data, off = tb.as_utf8(b["t"])
+        h = tb.hashes(data, off[:-1], off[1:])
+        given = np.array(b["given"].to_pylist(), dtype=bool)
+        words = [w if g else None for w, g in zip(b["t"].to_pylist(), given)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(h.view(np.int64), pa.int64(), mask=given)], names=["given", "family"])
+
+
+def name_lists(authors: DataFrame, column: str = "authors") -> tuple[list[str], np.ndarray]:
+    """Given names (tokens that stand first with several families) and hashes of the family names of all
+    author lists. Distinct tokens, counted, told apart and hashed on the executors."""
+    ship(authors.sparkSession)
     a = authors.select(F.explode(column).alias("a")).filter(F.col("a").isNotNull())
     a = a.select(F.regexp_replace(F.lower("a"), r"\([^)]*\)|\"[^\"]*\"|(?U)[^\p{L}\s'’-]", " ").alias("a"), F.col("a").contains(",").alias("comma")).filter("not comma").distinct()
     w = a.select(F.regexp_extract_all("a", F.lit(r"(?U)\p{L}[\p{L}'’-]+"), 0).alias("w")).filter("size(w) between 2 and 5")
@@ -110,11 +117,12 @@ def name_lists(authors: DataFrame, column: str = "authors", max_papers: int = MA
     first = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     last = pairs.groupBy("last").agg(F.count(F.lit(1)).alias("m"))
     both = first.join(last, F.col("first") == F.col("last"), "full").select(F.coalesce("first", "last").alias("t"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-    rows = both.collect()
-    many = max([2, *(r.n for r in rows)])
-    given_set = {r.t for r in rows if r.n >= max(2, 0.15 * many) and r.n > 2 * r.m and r.t not in PARTICLES and r.t not in _NOT_FAMILY} | set(GIVEN)
-    family = np.unique(np.array([tb.hash_word(r.t) for r in rows if r.t not in given_set and (r.m or r.n) and len(r.t) > 3], dtype=np.uint64))
-    return sorted(given_set), family
+    many = first.agg(F.max("n")).first()[0] or 0
+    is_given = (F.col("n") >= max(2, 0.15 * many)) & (F.col("n") > 2 * F.col("m")) & ~F.col("t").isin(*PARTICLES, *_NOT_FAMILY)
+    told = both.select("t", (is_given | F.col("t").isin(*GIVEN)).alias("given")).filter(F.col("given") | (F.length("t") > 3))
+    got = told.mapInArrow(_name_hashes, "given string, family bigint").toArrow()
+    family = np.unique(got["family"].drop_null().to_numpy()).view(np.uint64)
+    return sorted(set(got["given"].drop_null().to_pylist()) | set(GIVEN)), np.sort(family)
 
 
 # ------------------------------------------------------------------------------------------ windows

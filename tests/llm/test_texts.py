@@ -239,6 +239,16 @@ def test_personal_data(spark):
     assert p10_pii.found(d.limit(0), authors.limit(0)).count() == 0
 
 
+def test_names_of_all_papers(spark):
+    n = 2_500_000
+    rare = F.concat(F.lit("Q"), F.translate(F.format_string("%05d", (F.col("id") / 12_500).cast("int")), "0123456789", "abcdefghij"), F.lit("son"))
+    name = F.when(F.col("id") % 12_500 == 0, rare).otherwise("Korbel")
+    given, family = p10_pii.name_lists(spark.range(n).select(F.array(F.concat(F.lit("Anna "), name), F.concat(F.lit("p"), F.col("id"))).alias("authors")))
+    want = ["q" + "".join("abcdefghij"[int(c)] for c in f"{k:05d}") + "son" for k in range(n // 12_500)]
+    assert tb.member(np.array([tb.hash_word(w) for w in [*want, "korbel"]], np.uint64), family)[0].all()
+    assert "anna" in given and set(p10_pii.GIVEN) <= set(given)
+
+
 def test_belief_propagation_is_exact_on_chains():
     rnd = np.random.default_rng(0)
     n, k = 4, p10_pii.N_LABEL
