@@ -41,6 +41,7 @@ CONTEXT = 100
 SKIP_STRENGTH = 0.6
 BP_ROUNDS = 3
 BUCKETS = 1 << 15
+MIN_FAMILIES = 2
 
 # fixed values: words that announce a kind of personal data or a part of it
 ID_WORDS = "ssn orcid dni nie nif passport licence license matriculation social insurance national nino ni badge staff id".split()
@@ -117,8 +118,7 @@ def name_lists(authors: DataFrame, column: str = "authors") -> tuple[list[str],
     first = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     last = pairs.groupBy("last").agg(F.count(F.lit(1)).alias("m"))
     both = first.join(last, F.col("first") == F.col("last"), "full").select(F.coalesce("first", "last").alias("t"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-    many = first.agg(F.max("n")).first()[0] or 0
-    is_given = (F.col("n") >= max(2, 0.15 * many)) & (F.col("n") > 2 * F.col("m")) & ~F.col("t").isin(*PARTICLES, *_NOT_FAMILY)
+    is_given = (F.col("n") >= MIN_FAMILIES) & (F.col("n") > 2 * F.col("m")) & ~F.col("t").isin(*PARTICLES, *_NOT_FAMILY)
     told = both.select("t", (is_given | F.col("t").isin(*GIVEN)).alias("given")).filter(F.col("given") | (F.length("t") > 3))
     got = told.mapInArrow(_name_hashes, "given string, family bigint").toArrow()
     family = np.unique(got["family"].drop_null().to_numpy()).view(np.uint64)

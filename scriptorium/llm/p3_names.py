@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import durable, ship
 
+MIN_FAMILIES = 2
+ESTABLISHED = 3
+MISSPELT = 0.15
 RADIUS = 1
 POINTS_PER_CELL = 64
 MAX_PIVOTS = 1024
@@ -313,8 +316,7 @@ def given_names(names: DataFrame) -> frozenset[str]:
     p = w.select(F.lower(F.element_at("w", 1)).alias("first"), F.lower(F.element_at("w", -1)).alias("last")).distinct()
     f = p.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     l = p.groupBy("last").agg(F.count(F.lit(1)).alias("m"))
-    top = f.agg(F.max("n")).first()[0] or 0
-    rows = f.filter(F.col("n") >= max(2, 0.15 * top)).join(l, F.col("first") == F.col("last"), "left").filter(F.col("n") > 2 * F.coalesce("m", F.lit(0))).select("first").collect()
+    rows = f.filter(F.col("n") >= MIN_FAMILIES).join(l, F.col("first") == F.col("last"), "left").filter(F.col("n") > 2 * F.coalesce("m", F.lit(0))).select("first").collect()
     return frozenset(plain(r[0]) for r in rows) - PARTICLES - {"the"}
 
 
@@ -337,8 +339,9 @@ def _same_given(a: str, b: str) -> bool:
     return a == b or b in NICK.get(a, ()) or a in NICK.get(b, ())
 
 
-def _person_edges(established: frozenset[str]):
-    """Edges among the people of one family key and its neighbours. The rows are the distinct
+def _person_edges(established: dict[str, int]):
+    """Edges among the people of one family key and its neighbours. established: families of each given
+    name that has several; beside one with far more, one edit away, it is a misspelling all the same. The rows are the distinct
     (given, initials) forms of the keys, not names or rows of the data."""
 
     def run(pdf):
@@ -365,9 +368,9 @@ def _person_edges(established: frozenset[str]):
                     if home in (a[1], b[1]) or a[1] == b[1]:
                         link(a, b)
             # one edit in the given name: the family must be equal and one of the two no name of its own
-            if len(a[2]) >= 3 and a[2] not in established:
+            if len(a[2]) >= 3:
                 for b in full:
-                    if b[1] == a[1] and b[2] != a[2] and (within_one(a[2], b[2]) or fold(a[2]) == fold(b[2])) and (b[2] in established or b[4] >= a[4]):
+                    if b[1] == a[1] and b[2] != a[2] and (a[2] not in established or established[a[2]] < MISSPELT * established.get(b[2], 0)) and (within_one(a[2], b[2]) or fold(a[2]) == fold(b[2])) and (b[2] in established or b[4] >= a[4]):
                         link(a, b)
         # initials: to the only person they fit
         groups: dict[str, str] = {}
@@ -457,8 +460,7 @@ def classes(meta: DataFrame, column: str = "authors") -> DataFrame:
     star = near.select(F.col("a").alias("center"), F.col("b").alias("point")).unionByName(keyed.select(F.col("point").alias("center"), "point").distinct())
     around = star.join(keyed, "point").withColumn("center", F.expr("substring(center, 2)"))
     fam = nodes.filter("kind = 'p' and given <> ''").groupBy("given").agg(F.count_distinct("family").alias("k"))
-    top = fam.agg(F.max("k")).first()[0] or 0
-    established = frozenset(r.given for r in fam.filter(F.col("k") >= max(3, 0.15 * top)).collect())
+    established = {r.given: r.k for r in fam.filter(F.col("k") >= ESTABLISHED).collect()}
     people = around.filter("kind = 'p'").groupBy("center").applyInPandas(_person_edges(established), "a string, b string")
     groups = around.filter("kind = 'g'").groupBy("center").applyInPandas(_group_edges, "a string, b string")
     # a nickname in quotation marks stands beside the full name in one string: no edge needed

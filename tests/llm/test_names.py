@@ -67,6 +67,17 @@ def test_parse():
     assert (g["kind"], g["family"], g["given"], g["topic"]) == ("g", "weber", "institute", "text mining")
 
 
+def test_one_hot_given_name_hides_no_other(spark):
+    from scriptorium.llm import p10_pii
+
+    word = lambda i: "".join("bcdfghklmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:03d}")
+    names = [f"Wolfgang {word(i)}" for i in range(100)] + [f"{g} {word(i)}" for g in ("Torvin", "Corvin") for i in range(200, 204)] + ["Torvin Berglund", "Corvin Berglund", "Berglund Torvin"]
+    d = spark.createDataFrame([(i, [n]) for i, n in enumerate(names)], "meta_id long, authors array<string>")
+    assert {"torvin", "corvin", "wolfgang"} <= N.given_names(N.distinct_names(d)) and {"torvin", "corvin"} <= set(p10_pii.name_lists(d)[0])
+    c = {r.name: r.class_id for r in N.classes(d).collect()}
+    assert c["Torvin Berglund"] == c["Berglund Torvin"] != c["Corvin Berglund"]
+
+
 def test_classes(spark):
     same = [["Thomas Berglund", "Tom Berglund", "T. Berglund", "Berglund, Thomas", "Thomas Bergluund", "THOMAS BERGLUND", "Thoms Berglund", "T. Bergund"], ["Clara Öhman", "Clara Oehman", "c. ohman"], ["Weber Text Mining Institute", "The Weber TM Institute", "Institute for Text Mining, Weber"]]
     others = ["Anna Berglund", "Victor Salminen", "Vincent Salminen", "V. Salminen", "Weber Text Mining Consortium", "Bruno Ohman"]
