@@ -164,6 +164,18 @@ def test_specimens_are_their_own_profile():
     assert np.allclose(p4_quality.divergence(np.array([[1.0, 0.0]]) + 1e-12, np.array([[0.0, 1.0]]) + 1e-12), 1.0, atol=1e-6)
 
 
+def test_specimens_are_of_no_corpus():
+    """No line of a specimen stands in a test table; lines that are markup alone say nothing."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    tables = [pq.read_table(f) for f in glob.glob("/root/testdata/sf0.01/*.parquet") + glob.glob("/root/testdata/sf0.001/*.parquet")]
+    every = "\n".join(x for t in tables for f in t.schema if pa.types.is_string(f.type) for x in t.column(f.name).to_pylist() if x)
+    lines = [x for _, xs in p4_quality.SPECIMENS.values() for t in xs for x in t.split("\n") if len(x) > 11 and not x.startswith(("\\begin{", "\\end{", "{|"))]
+    assert len(lines) > 100 and not [x for x in lines if x[:60] in every]
+
+
 def test_levels(spark):
     rows = [(i, EASY * 4) for i in range(20)] + [(100 + i, HARD * 4) for i in range(20)] + [(200, "Das alte Haus und die Katze und der Hund zu Hause und den Weg."), (201, ""), (202, None), (203, "n/a\nn/a\nn/a\nn/a"), (204, EASY[:48])]
     d = spark.createDataFrame(rows, "record_id long, t string")
@@ -176,6 +188,19 @@ def test_levels(spark):
     assert p6_level.levels(d.limit(0), common(spark), "record_id", "t").count() == 0
 
 
+MIDDLE = "The harbour was rebuilt after the winter storms, and most of the fishing boats returned to it within a year. Visitors can still see where the older wall ended, although much of the original stone was removed when the market was extended. "
+
+
+def test_levels_cover_all_grades(spark):
+    assert all(a[2] == b[1] for a, b in zip(p6_level.LEVELS, p6_level.LEVELS[1:]))
+    rows = [(i, EASY * 4) for i in range(20)] + [(100 + i, HARD * 4) for i in range(20)] + [(200 + i, MIDDLE * 3) for i in range(20)]
+    d = spark.createDataFrame(rows, "record_id long, t string")
+    lv = p6_level.levels(d, common(spark), "record_id", "t")
+    grades = {k: {r.grade for r in lv.filter(f"record_id between {a} and {a + 19}").collect()} for k, a in (("easy", 0), ("hard", 100), ("middle", 200))}
+    assert grades["middle"] == {10} and max(grades["easy"]) <= 8 and min(grades["hard"]) >= 12
+    assert {r.record_id for r in p6_level.young(lv).collect()} == set(range(20))
+
+
 # ---------------------------------------------------------------------------------------- garbled
 
 
