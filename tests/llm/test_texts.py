@@ -270,19 +270,106 @@ def test_names_of_all_papers(spark):
     name = F.when(F.col("id") % 12_500 == 0, rare).otherwise("Korbel")
     given, family = p10_pii.name_lists(spark.range(n).select(F.array(F.concat(F.lit("Anna "), name), F.concat(F.lit("p"), F.col("id"))).alias("authors")))
     want = ["q" + "".join("abcdefghij"[int(c)] for c in f"{k:05d}") + "son" for k in range(n // 12_500)]
-    assert tb.member(np.array([tb.hash_word(w) for w in [*want, "korbel"]], np.uint64), family)[0].all()
-    assert "anna" in given and set(p10_pii.GIVEN) <= set(given)
+    assert all(w in family for w in [*want, "korbel"]) and not any(f"{w}x" in family for w in want)
+    assert "anna" in given and all(w in given for w in p10_pii.GIVEN)
+
+
+def test_filter_misses_no_hash():
+    rnd = np.random.default_rng(1)
+    h = rnd.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    b = p10_pii.Bits().add(h[:10_000])
+    assert b.has(h[:10_000]).all() and not b.has(h[10_000:]).any() and not p10_pii.Bits().has(h).any()
+
+
+def random_model(seed):
+    rnd = np.random.default_rng(seed)
+    n, k = 5, p10_pii.N_LABEL
+    m = p10_pii.Model(np.zeros((p10_pii.BUCKETS, k)), rnd.normal(size=(k, k)), np.zeros((2, k, k)))
+    m.weights[1 : n + 1] = rnd.normal(size=(n, k)) * 2
+    s = rnd.normal(size=(2, k, k))
+    m.skip[:] = s + s.transpose(0, 2, 1)
+    return m, n, k
+
+
+def marginals(m, n, k, skips):
+    marg = np.zeros((n, k))
+    for y in np.ndindex(*(k,) * n):
+        v = np.exp(sum(m.weights[1 + i, y[i]] for i in range(n)) + sum(m.trans[y[i], y[i + 1]] for i in range(n - 1)) + sum(m.skip[t, y[a], y[b]] for a, b, t in skips))
+        for i in range(n):
+            marg[i, y[i]] += v
+    return marg
 
 
 def test_belief_propagation_is_exact_on_chains():
-    rnd = np.random.default_rng(0)
-    n, k = 4, p10_pii.N_LABEL
-    m = p10_pii.Model(np.zeros((p10_pii.BUCKETS, k)), rnd.normal(size=(k, k)))
-    m.weights[:n] = rnd.normal(size=(n, k)) * 2
-    got = p10_pii.infer(m, [[i] for i in range(n)], np.zeros(n, int), np.zeros((0, 2), int))
+    m, n, k = random_model(0)
+    x = np.arange(1, n + 1)[:, None]
+    assert (p10_pii.infer(m, x, np.zeros(n, int), np.zeros((0, 3), int)) == marginals(m, n, k, []).argmax(1)).all()
+    # two chains joined by one skip edge are a tree: messages are exact there too
+    two = np.array([0, 0, 0, 1, 1])
+    t = p10_pii.Model(m.weights, m.trans, m.skip)
+    trans = m.trans.copy()
+    got = p10_pii.infer(t, x, two, np.array([[1, 4, 1]]))
     marg = np.zeros((n, k))
     for y in np.ndindex(*(k,) * n):
-        s = np.exp(sum(m.weights[i, y[i]] for i in range(n)) + sum(m.trans[y[i], y[i + 1]] for i in range(n - 1)))
+        v = np.exp(sum(m.weights[1 + i, y[i]] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in (0, 1, 3)) + m.skip[1, y[1], y[4]])
         for i in range(n):
-            marg[i, y[i]] += s
+            marg[i, y[i]] += v
     assert (got == marg.argmax(1)).all()
+
+
+def test_skip_edges():
+    words = "Dr Quorvin Zelphaard and later Quorvin Zelphard met Ostrel , Quorvyn".split()
+    e = p10_pii.skip_edges(words, [1] * len(words)).tolist()
+    assert [1, 5, 1] in e and [2, 6, 1] in e and [1, 10, 0] in e and len(e) == 3
+    assert not len(p10_pii.skip_edges(words, list(range(len(words)))))
+
+
+@pytest.fixture(scope="module")
+def trained():
+    """A model learnt from the texts of a test table."""
+    import pyarrow.parquet as pq
+
+    b = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{b}/documents.parquet", columns=["doc_id", "text"]).slice(3000).to_pydict()
+    names = [w.lower() for x in pq.read_table(f"{b}/paper_metadata.parquet", columns=["authors"]).to_pydict()["authors"] for y in x or [] for w in [(y or "").split(" ")[-1]] if len(w) > 3]
+    h = lambda ws: np.array([tb.hash_word(w) for w in ws], np.uint64)
+    given, family = p10_pii.Bits().add(h(p10_pii.GIVEN)), p10_pii.Bits().add(h(names))
+    wins = [(k, w) for k, t in zip(docs["doc_id"], docs["text"]) if t for w in cut(t, p10_pii.Names(given, family))]
+    return p10_pii.learn(wins, given, family)
+
+
+def cut(text, names):
+    data, off = tb.as_utf8(pa.array([text]))
+    return [bytes(data[s:e]).decode("utf-8", "replace") for _, s, e in p10_pii.windows(data, off, names)]
+
+
+def persons(text, trained):
+    model, names = trained
+    w = cut(text, names)
+    return [x[a:b] for x, got in zip(w, p10_pii.find(w, [0] * len(w), model, names)) for a, b, k in got if k == 5]
+
+
+def test_repeated_name_without_title_needs_the_skip_edges(trained, monkeypatch):
+    first = "Ask for Dr Quorvin Zelphaard on 020 7946 0089 before release. " + "Nobody answered for a week and nothing else was said. " * 3
+    later = ("Contact\nQuorvin Zelphaard\n+44 20 7946 0089", "Later Quorvin Zelphaard, who was late, came.", "Ask for Quorvin Zelphaard.", "We thank Quorvin Zelphaard for proofreading.", "The notes of Quorvin Zelphaard were lost.", "Quorvin Zelphaard, ORCID 0000-0000-1234-5678")
+    with_edges = [len(persons(first + x, trained)) for x in later]
+    # no given name, no title: alone it isn't a person
+    assert all(persons(x, trained) == [] for x in later)
+    monkeypatch.setattr(p10_pii, "skip_edges", lambda *_: np.zeros((0, 3), int))
+    without = [len(persons(first + x, trained)) for x in later]
+    assert all(a >= b for a, b in zip(with_edges, without)) and sum(with_edges) > sum(without) and max(with_edges) == 2
+
+
+def test_field_decides_without_patterns(trained, monkeypatch):
+    """Texts the model has not seen, labelled after the patterns that labelled the sample are taken away."""
+    import pyarrow.parquet as pq
+
+    model, names = trained
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 3000).to_pydict()
+    wins = [(k, w) for k, x in zip(t["doc_id"], t["text"]) if x for w in cut(x, names)]
+    want = {(k, label) for k, w in wins for _, _, label in p10_pii.strict(w, names)}
+    monkeypatch.setattr(p10_pii, "strict", None)
+    for n in ("EMAIL", "PHONE", "ID_FULL", "ADDRESS", "_PERSON_RX"):
+        monkeypatch.setattr(p10_pii, n, None)
+    got = {(k, label) for (k, _), spans in zip(wins, p10_pii.find([w for _, w in wins], [k for k, _ in wins], model, names)) for _, _, label in spans}
+    assert len(want) > 300 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
