@@ -25,13 +25,14 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.session import ship, spread
 
+HOLD = ("<cit.>", "<ref>", "< g r a p h i c s >", "<graphics>")
 PLACEHOLDER = r"<cit\.>|<ref>|<\s?g r a p h i c s\s?>"
 
 # fixed values: names of HTML and wiki elements
@@ -40,13 +41,13 @@ TAGS = "a|abbr|b|big|blockquote|body|br|caption|center|cite|code|col|colgroup|dd
 PIECES: tuple[tuple[str, str], ...] = (
     ("hold", PLACEHOLDER),
     # blocks whose inside is code or formula
-    ("comment", r"<!--.*?-->"),
+    ("comment", r"<!--(?:(?!<!--).)*?-->"),
     ("htmlcode", r"<(?:pre|syntaxhighlight|script|style)\b[^<>]*>.*?</(?:pre|syntaxhighlight|script|style)\s*>"),
     ("htmlmath", r"<math\b[^<>]*>.*?</math\s*>"),
     ("fence", r"^[ \t]*```[^\n]*\n.*?^[ \t]*```[ \t]*$|```[^`]*```"),
     ("envb", r"\\begin\{(?P<env>equation|align|gather|multline|eqnarray|math|displaymath|lstlisting|verbatim|tabular|figure|table|algorithm)(?P<envs>\*?)\}.*?\\end\{(?P=env)(?P=envs)\}"),
-    ("display", r"\$\$[^$]{1,2000}?\$\$|\\\[.{1,2000}?\\\]"),
-    ("inline", r"\\\(.{1,800}?\\\)|\$(?=[^\s$])(?=[^$\n]{0,400}[\\_^={}(+])[^$\n]{1,400}?(?<=[^\s\\])\$(?!\d)"),
+    ("display", r"\$\$[^$]+?\$\$|\\\[(?:(?!\\\[).)+?\\\]"),
+    ("inline", r"\\\((?:(?!\\\().)+?\\\)|\$(?=[^\s$])(?=[^$\n]*[\\_^={}(+])[^$\n]+?(?<=[^\s\\])\$(?!\d)"),
     # LaTeX
     ("begin", r"\\(?:begin|end)\s*\{[^{}\n]*\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?"),
     ("cite", r"~?\\(?:no)?cite[A-Za-z]*\*?(?:\[[^\]\n]*\])*\{[^{}]*\}"),
@@ -58,11 +59,11 @@ PIECES: tuple[tuple[str, str], ...] = (
     ("wrap", r"\\(?:text|emph|textbf|textit|texttt|textsc|textrm|textsf|underline|footnote|caption|title|mbox|url|math\w+)[A-Za-z]*\*?\s*\{"),
     ("command", r"\\[A-Za-z@]+\*?(?:\[[^\]\n]*\])?"),
     ("escape", r"\\[%&_#${}~^\\,;:!/ \-|]|\\\\(?:\[[^\]\n]*\])?"),
-    ("texquote", r"``(?=\S)[^`'\n]{1,300}?''"),
+    ("texquote", r"``(?=\S)[^`'\n]+?''"),
     ("texcomment", r"^[ \t]*%[^\n]*$"),
     ("tie", r"(?<=\w)~(?=[\w\\(])"),
     # wiki
-    ("template", r"\{\{[^{}]{0,600}\}\}"),
+    ("template", r"\{\{[^{}]*\}\}"),
     ("wikitable", r"^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n]*|\|\+[^\n]*|!(?!\[)[^\n]*|\|[^\n|][^\n]*\|\|[^\n]*)$"),
     ("wikiimage", r"\[\[(?:Category|File|Image|Kategorie|Datei|Fichier|Archivo)\s*:[^\[\]]*\]\]"),
     ("wikilink", r"\[\[(?:[^\[\]|\n]*\|)?(?P<wl>[^\[\]\n]*)\]\]"),
@@ -83,10 +84,10 @@ PIECES: tuple[tuple[str, str], ...] = (
     ("quote", r"^[ \t]{0,3}>[ \t]?"),
     ("star", r"^[ \t]*\*+[ \t]+(?=\S)|^[ \t]*\*+(?=[\[{'])"),
     ("strong", r"\*{2,3}(?=[^\s*])|(?<=[^\s*])\*{2,3}"),
-    ("under", r"(?<!\w)_{1,3}(?=[^\W_])(?P<un>[^\n_]{1,200}?)(?<=\S)_{1,3}(?!\w)"),
-    ("em", r"(?<![\w*])\*(?=[\w\"“(\[])(?P<emi>[^*\n]{1,200}?)(?<=[^\s*(])\*(?![\w*])"),
-    ("strike", r"~~(?=\S)(?P<st>[^~\n]{1,300}?)~~"),
-    ("code", r"`(?P<cd>[^`\n]{1,200})`"),
+    ("under", r"(?<!\w)_{1,3}(?=[^\W_])(?P<un>[^\n_]+?)(?<=\S)_{1,3}(?!\w)"),
+    ("em", r"(?<![\w*])\*(?=[\w\"“(\[])(?P<emi>[^*\n]+?)(?<=[^\s*(])\*(?![\w*])"),
+    ("strike", r"~~(?=\S)(?P<st>[^~\n]+?)~~"),
+    ("code", r"`(?P<cd>[^`\n]+)`"),
     # HTML and entities last, as the other grammars may stand inside
     ("tag", rf"</?(?i:{TAGS})(?:\s[^<>]*)?/?>|<[A-Za-z][A-Za-z0-9]*\s+[A-Za-z-]+\s*=[^<>]*>|</[A-Za-z][A-Za-z0-9]*\s*>|<(?i:{TAGS})\s(?=[^<>]*<)|</?ref\s[^<>]*>|</ref>"),
     ("entity", r"&(?:[A-Za-z]{2,8}\d{0,2}|#\d{1,6}|#[xX][0-9A-Fa-f]{1,6});"),
@@ -104,8 +105,17 @@ def lexer() -> re.Pattern:
     return _RX["x"]
 
 
-#: A text can hold a piece only if this is found; evaluated in the JVM before any text goes to Python.
-TRIGGER = r"(?m)\\|<[A-Za-z!/](?!it\.>|ef>)|&#?[A-Za-z0-9]{2,8};|\*\*|`|~~|\w~\w|[{\[]{2}|\{\||\|\}|''|\]\(|\]\[|\]:|\[\^|\[\w+://|\$[^\s\d]|\$\d[^$\n]*[\\^_={}(+][^$\n]*\$|^[ \t]*[*#>%|!]|^[ \t]*={2}|^[ \t]*-{3}|^={3}|_{2}|(?<!\w)_(?=\w)|(?<![\w*])\*(?=[\w(\[])"
+#: A text can hold a piece only if one of these marks stands in it: every piece of the lexer begins with or
+#: holds one (tested). Read by the Arrow engine in one pass, without looking behind; the lexer decides.
+MARKS = r"(?m)[\\\x60~_*$]|<[A-Za-z!/]|&#?[A-Za-z0-9]+;|\{\{|\[\[|\{\||\|\}|''|\]\(|\]\[|\]:|\[\^|\[\w+://|^[ \t]*[#>%|!]|^[ \t]*==|^[ \t]*:?-"
+
+
+def marked(text: pa.Array) -> list[bool]:
+    """Which texts have a mark besides the placeholders of the corpus. Nulls have none."""
+    for x in HOLD:
+        text = pc.replace_substring(text, x, "")
+    return pc.fill_null(pc.match_substring_regex(text, MARKS), False).to_pylist()
+
 
 _ACCENTS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "H": "\u030b", "v": "\u030c", "u": "\u0306", "k": "\u0328", "r": "\u030a"}
 
@@ -210,12 +220,12 @@ def _convert(m: re.Match) -> str:
     return ""  # commands, wrappers, quotes, strong marks, groups
 
 
-def clean(text: str, rounds: int = 4) -> tuple[str, int]:
+def clean(text: str) -> tuple[str, int]:
     """(clean text, pieces). Pieces may stand in pieces (an escaped tag, emphasis in a link): the text
-    is read again until nothing is found; formulas and code are not read again."""
+    is read again until nothing changes; formulas and code are not read again."""
     rx = lexer()
-    pieces = 0
-    for _ in range(rounds):
+    pieces, before = 0, 0
+    while True:
         n = 0
 
         def one(m: re.Match) -> str:
@@ -228,9 +238,10 @@ def clean(text: str, rounds: int = 4) -> tuple[str, int]:
         kept = sum(1 for m in rx.finditer(text) if m.lastgroup == "inline") if not pieces else 0
         text2 = rx.sub(one, text)
         pieces += n + kept
-        if text2 == text:
+        # a round takes a level of nesting off: neither the text nor its pieces may grow without end
+        if text2 == text or (before and n >= before and len(text2) >= len(text)):
             break
-        text = text2
+        text, before = text2, n
     if pieces:
         text = re.sub(r"(?<=\S)\}(?!\S)|\{(?=\w+\s)", "", text) if "{" in text or "}" in text else text
         text = re.sub(r"[ \t]+\n", "\n", re.sub(r"(?<=\S)[ ]{2,}", " ", text))
@@ -242,35 +253,18 @@ def has_piece(text: str) -> bool:
     return any(m.lastgroup != "hold" for m in lexer().finditer(text))
 
 
-def kinds(text: str) -> str:
-    """The grammars of the pieces found, for the report."""
-    out = set()
-    for m in lexer().finditer(text):
-        if m.lastgroup != "hold":
-            out.add(GRAMMAR.get(m.lastgroup, "html"))
-    return ",".join(sorted(out))
-
-
-GRAMMAR = {
-    **dict.fromkeys(("envb", "display", "inline", "begin", "cite", "xref", "texlink", "texhead", "item", "accent", "wrap", "command", "escape", "texquote", "texcomment", "tie", "group"), "latex"),
-    **dict.fromkeys(("template", "wikitable", "wikiimage", "wikilink", "extlink", "magic", "quotes", "wikihead"), "wiki"),
-    **dict.fromkeys(("fence", "mdhead", "setext", "rule", "image", "mdlink", "mdref", "mdreflink", "mdnote", "mdtable", "quote", "star", "strong", "under", "em", "strike", "code"), "markdown"),
-}
-
-
 def _run(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, out = [], []
-            for t in b["_text"].to_pylist():
-                if with_text:
-                    c, k = clean(t)
-                    out.append(c)
-                else:
-                    k = sum(1 for m in lexer().finditer(t) if m.lastgroup != "hold")
-                n.append(k)
-            cols = [b["field"], b["row_id"], pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(out, pa.string())] if with_text else []), names=["field", "row_id", "pieces"] + (["clean"] if with_text else []))
+            hit = marked(b["_text"])
+            if with_text:
+                got = [clean(t.as_py()) if h else (None, 0) for t, h in zip(b["_text"], hit)]
+                out = [c if h else t.as_py() for t, h, (c, _) in zip(b["_text"], hit, got)]
+                yield pa.RecordBatch.from_arrays([b["field"], b["row_id"], pa.array([k for _, k in got], pa.int32()), pa.array(out, pa.string())], names=["field", "row_id", "pieces", "clean"])
+                continue
+            some = b.filter(pa.array(hit, pa.bool_()))
+            n = [sum(1 for m in lexer().finditer(t) if m.lastgroup != "hold") for t in some["_text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([some["field"], some["row_id"], pa.array(n, pa.int32())], names=["field", "row_id", "pieces"])
 
     return run
 
@@ -284,17 +278,14 @@ def stacked(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
 
 
 def pieces(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """(field, row_id, pieces) of the rows that hold markup. Texts without any trigger never leave the JVM."""
-    d = stacked(parts)
+    """(field, row_id, pieces) of the rows that hold markup. One scan, no shuffle."""
+    d = stacked(parts).filter(F.length("_text") > 0)
     ship(d.sparkSession)
-    return d.filter(F.col("_text").rlike(TRIGGER)).mapInArrow(_run(False), "field string, row_id bigint, pieces int").filter("pieces > 0")
+    return d.mapInArrow(_run(False), "field string, row_id bigint, pieces int").filter("pieces > 0")
 
 
 def cleaned(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """(field, row_id, pieces, clean) of every row: converted where it holds markup, as stored otherwise."""
     d = stacked(parts)
     ship(d.sparkSession)
-    hit = F.coalesce(F.col("_text").rlike(TRIGGER), F.lit(False))
-    work = d.filter(hit).mapInArrow(_run(True), "field string, row_id bigint, pieces int, clean string")
-    rest = d.filter(~hit).select("field", "row_id", F.lit(0).alias("pieces"), F.col("_text").alias("clean"))
-    return work.unionByName(rest)
+    return d.mapInArrow(_run(True), "field string, row_id bigint, pieces int, clean string")

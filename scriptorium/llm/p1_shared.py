@@ -1,6 +1,6 @@
 """Problem 1, second stage: runs of text that pages of one host share.
 
-Method: a host's pages are concatenated as token streams; suffixes are sorted, and neighbours that
+Method: a host's pages (sections and related-work texts of one paper or volume) are concatenated as token streams; suffixes are sorted, and neighbours that
 agree in at least WIDTH tokens and come from distinct pages are runs the pages share. The tokens such
 runs cover are taken out of every page but the first that has them; unique runs stay.
 
@@ -96,48 +96,51 @@ def _keep(text: str, mask: np.ndarray) -> str:
     return "".join(out)
 
 
-def _host(width: int):
+def _hashes(text: str | None) -> np.ndarray:
+    return tb.hashes(*_spans(text))
+
+
+def _host(width: int, keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", kind="stable")
-        vocab: dict[str, int] = {}
-        ids, page, sizes = [], [], []
-        for k, t in enumerate(pdf["_text"]):
-            ws = _tokens(t)
-            ids += [vocab.setdefault(w, len(vocab)) for w in ws]
-            ids.append(-1 - k)
-            page += [k] * (len(ws) + 1)
-            sizes.append(len(ws))
-        mask = shared_mask(np.array(ids, dtype=np.int64), np.array(page, dtype=np.int64), width)
-        rows, at = [], 0
-        for i, t, n in zip(pdf["row_id"], pdf["_text"], sizes):
-            m = mask[at : at + n]
-            rows.append((i, n, int(m.sum()), _keep(t, m) if t is not None and m.any() else t))
-            at += n + 1
-        return pd.DataFrame(rows, columns=["row_id", "n_tokens", "shared_tokens", "unique_text"])
+        pdf = pdf.sort_values(keys, kind="stable")
+        texts = pdf["_text"].tolist()
+        hs = [_hashes(t) for t in texts]
+        sizes = np.array([len(h) for h in hs], dtype=np.int64)
+        # tokens by number; behind each page stands an end of its own
+        _, number = np.unique(np.concatenate(hs), return_inverse=True)
+        page = np.repeat(np.arange(len(hs)), sizes + 1)
+        ends = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(page), bool)
+        inner[ends] = False
+        ids = np.empty(len(page), dtype=np.int64)
+        ids[inner], ids[ends] = number, -1 - np.arange(len(hs))
+        mask = shared_mask(ids, page, width)
+        n_shared, out = np.zeros(len(hs), dtype=np.int64), list(texts)
+        for k, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            m = mask[end - n : end]
+            n_shared[k] = m.sum()
+            if n_shared[k]:
+                out[k] = _keep(texts[k], m)
+        return pdf[keys].assign(n_tokens=sizes, shared_tokens=n_shared, unique_text=out)
 
     return run
 
 
-def _windows(width: int):
-    """(host, row_id, i, h): the hash of each window of a page's tokens."""
+def _windows(width: int, keys: list[str]):
+    """(host, keys, i, h): the hash of each window of a page's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            host, row, pos, win = [], [], [], []
-            for h, r, t in zip(b["host"].to_pylist(), b["row_id"].to_pylist(), b["_text"].to_pylist()):
-                raw, s, e = _spans(t)
-                x = tb.roll(tb.hashes(raw, s, e), width)
-                host += [h] * len(x)
-                row += [r] * len(x)
-                pos.append(np.arange(len(x)))
-                win.append(x.view(np.int64))
+            win = [tb.roll(_hashes(t.as_py()), width).view(np.int64) for t in b["_text"]]
+            at = pa.array(np.repeat(np.arange(len(win)), [len(x) for x in win]))
             cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(row, pa.int64()), pa.array(cat(pos), pa.int32()), pa.array(cat(win), pa.int64())], names=["host", "row_id", "i", "h"])
+            pos = [np.arange(len(x)) for x in win]
+            yield pa.RecordBatch.from_arrays([b["host"].take(at), *[b[k].take(at) for k in keys], pa.array(cat(pos), pa.int32()), pa.array(cat(win), pa.int64())], names=["host", *keys, "i", "h"])
 
     return run
 
 
-def _apply(width: int):
+def _apply(width: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_, s_, out = [], [], []
@@ -151,28 +154,31 @@ def _apply(width: int):
                 n_.append(n)
                 s_.append(int(mask.sum()))
                 out.append(_keep(t, mask) if t is not None and mask.any() else t)
-            yield pa.RecordBatch.from_arrays([b["row_id"], pa.array(n_, pa.int64()), pa.array(s_, pa.int64()), pa.array(out, pa.string())], names=["row_id", "n_tokens", "shared_tokens", "unique_text"])
+            yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], pa.array(n_, pa.int64()), pa.array(s_, pa.int64()), pa.array(out, pa.string())], names=[*keys, "n_tokens", "shared_tokens", "unique_text"])
 
     return run
 
 
-def shared_runs(pages: DataFrame, host: str, key: str, text: str, width: int = WIDTH, host_tokens: int = HOST_TOKENS) -> DataFrame:
-    """(key, n_tokens, shared_tokens, unique_text) of every page."""
+def shared_runs(pages: DataFrame, host: str, keys: list[str], text: str, width: int = WIDTH, host_tokens: int = HOST_TOKENS) -> DataFrame:
+    """(keys, n_tokens, shared_tokens, unique_text) of every page; keys together name a page and order the
+    pages of a host."""
     ship(pages.sparkSession)
-    p = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("_text"))
+    p = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *keys, F.col(text).alias("_text"))
     p = durable(p)  # read by every branch below; the texts may come from a costly plan
     # a token and the blank after it have two bytes at least; sums are combined before the shuffle
     size = p.groupBy("host").agg(F.sum(F.coalesce(F.length("_text"), F.lit(0)) / 2 + 1).alias("_n"))
     hot = durable(size.filter(F.col("_n") > host_tokens).select("host"))
-    schema = "row_id bigint, n_tokens bigint, shared_tokens bigint, unique_text string"
+    typed = ", ".join(f"{k} {p.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{typed}, n_tokens bigint, shared_tokens bigint, unique_text string"
     # as many parts as the work asks for: adaptive coalescing goes by bytes and would make one task of it
     total = size.agg(F.sum("_n")).first()[0] or 0
     parts = int(max(3 * pages.sparkSession.sparkContext.defaultParallelism, total // 500_000))
-    small = p.join(hot, "host", "left_anti").repartition(parts, "host").groupBy("host").applyInPandas(_host(width), schema)
+    small = p.join(hot, "host", "left_anti").repartition(parts, "host").groupBy("host").applyInPandas(_host(width, keys), schema)
     big = p.join(hot, "host", "left_semi")
-    win = big.mapInArrow(_windows(width), "host string, row_id bigint, i int, h bigint")
+    win = big.mapInArrow(_windows(width, keys), f"host string, {typed}, i int, h bigint")
     # min and max are combined per task: a window that fills a third of the rows costs one row per task
-    first = win.groupBy("host", "h").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").select("host", "h", "first")
-    hits = win.join(first, ["host", "h"]).filter("row_id <> first").groupBy("row_id").agg(F.collect_list("i").alias("at"))
-    large = big.join(hits, "row_id", "left").select("row_id", "_text", "at").mapInArrow(_apply(width), schema)
-    return small.unionByName(large).withColumnRenamed("row_id", key)
+    me = F.struct(*keys)
+    first = win.groupBy("host", "h").agg(F.min(me).alias("first"), F.max(me).alias("last")).filter("first <> last").select("host", "h", "first")
+    hits = win.join(first, ["host", "h"]).filter(me != F.col("first")).groupBy(*keys).agg(F.collect_list("i").alias("at"))
+    large = big.join(hits, keys, "left").select(*keys, "_text", "at").mapInArrow(_apply(width, keys), schema)
+    return small.unionByName(large)

@@ -41,11 +41,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_shared_runs")
 def p1_shared_runs(spark: SparkSession, d: str) -> DataFrame:
-    # pages are the cleaned sections, hosts the papers and volumes they belong to
-    s = table(spark, d, "raw_sections")
-    clean = p1_markup.cleaned([(s, "raw_sections.content", "section_id", "content")])
-    pages = clean.join(s.select(F.col("section_id").alias("row_id"), "arxiv_id"), "row_id")
-    return p1_shared.shared_runs(pages, "arxiv_id", "row_id", "clean").withColumnRenamed("row_id", "section_id")
+    # pages are the cleaned texts of both fields, hosts the papers and volumes they belong to
+    parts = _markup_parts(spark, d)
+    host = None
+    for t, field, key, _ in parts:
+        x = t.select(F.lit(field).alias("field"), F.col(key).alias("row_id"), "arxiv_id")
+        host = x if host is None else host.unionByName(x)
+    return p1_shared.shared_runs(p1_markup.cleaned(parts).join(host, ["field", "row_id"]), "arxiv_id", ["field", "row_id"], "clean")
 
 
 @query("p1_clean")

@@ -3,6 +3,8 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.llm import p1_markup, p1_shared, p4_quality, p5_garbled, p6_level, p8_leak, p10_pii
@@ -40,7 +42,7 @@ def test_words_and_hashes():
     ["a <b>c</b>", "x &amp; y", "\\textbf{a}", "is $x_i$ b", "M\\\"obi", "``q''", "[[a|b]]", "'''a'''", "{{t}}", "== H ==", "## H", "**b**", "`c`", "[a](http://x.y)", "![a](b.png)", "> q", "* [[x]]", "|---|---|", "a\n===", "[^1]: see", "~~s~~", "_em_ x", "__b__", "<!-- c -->", "5\\% b", "<br/>", "% todo", "&#8212;", "[http://a.b c]", "\\(a\\)", "__TOC__", "[a b][4]"],
 )
 def test_markup_is_found(text):
-    assert p1_markup.has_piece(text), text
+    assert p1_markup.has_piece(text) and p1_markup.marked(pa.array([text])) == [True], text
 
 
 @pytest.mark.parametrize(
@@ -71,6 +73,26 @@ def test_markup_operator(spark):
     assert p1_markup.cleaned([(d.limit(0), "f.t", "id", "t")]).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a B1<>/\\$~`{}[]()|!_'=*#%&;:.-^\n\tö", max_size=40))
+def test_no_piece_without_a_mark(text):
+    """The first pass never hides a text from the lexer."""
+    assert p1_markup.marked(pa.array([text, None]))[0] or not p1_markup.has_piece(text)
+    once, _ = p1_markup.clean(text)
+    assert isinstance(once, str)
+
+
+def test_markup_has_no_size_limit():
+    word = "alpha " * 3000
+    for t in ("{{" + word + "}}", "`" + word + "x`", "a *" + word + "x* b", "~~" + word + "x~~", "$x_" + word + "y$"):
+        assert p1_markup.has_piece(t), t[:10]
+    deep = "x"
+    for _ in range(12):
+        deep = "{{a|" + deep + "}}"
+    assert p1_markup.clean("b " + deep + " c")[0].split() == ["b", "c"]
+    assert p1_markup.clean("&amp;" + "amp;" * 9 + "lt;b&gt;")[0] == ""
+
+
 def covered(pages, width):
     """Brute force: tokens in a window of width tokens that an earlier page has."""
     seen, out = {}, []
@@ -106,11 +128,11 @@ def test_shared_runs_both_ways(spark):
     rows = [(k, "h", " ".join(p)) for k, p in enumerate(pages)] + [(90, "other", " ".join(foot)), (91, None, None), (92, None, "")]
     d = spark.createDataFrame(rows, "page_id long, h string, t string").withColumn("host", F.lit("clash"))
     for limit in (10**9, 10):  # one task; windows by hash
-        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", "page_id", "t", width, limit).collect()}
+        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", ["page_id"], "t", width, limit).collect()}
         assert [got[k].shared_tokens for k in range(len(pages))] == [sum(m) for m in want]
         assert [got[k].unique_text.split() for k in range(len(pages))] == [[w for w, x in zip(p, m) if not x] for p, m in zip(pages, want)]
         assert got[90].shared_tokens == 0 and got[91].unique_text is None and got[92].unique_text == ""
-    assert p1_shared.shared_runs(d.limit(0), "h", "page_id", "t").count() == 0
+    assert p1_shared.shared_runs(d.limit(0), "h", ["page_id"], "t").count() == 0
 
 
 def test_shared_runs_split_at_all_blanks(spark):
@@ -122,7 +144,7 @@ def test_shared_runs_split_at_all_blanks(spark):
     want = covered(pages, width)
     d = spark.createDataFrame([(k, "h", join(p, k)) for k, p in enumerate(pages)], "page_id long, h string, t string")
     for limit in (10**9, 10):
-        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", "page_id", "t", width, limit).collect()}
+        got = {r.page_id: r for r in p1_shared.shared_runs(d, "h", ["page_id"], "t", width, limit).collect()}
         assert [got[k].n_tokens for k in range(len(pages))] == [len(p) for p in pages]
         assert [got[k].shared_tokens for k in range(len(pages))] == [sum(m) for m in want]
         assert [got[k].unique_text.split() for k in range(len(pages))] == [[w for w, x in zip(p, m) if not x] for p, m in zip(pages, want)]
