@@ -13,7 +13,7 @@ The weights, those of the skip edges included, are trained by pseudo-likelihood
 (TRAIN_DOCS documents) labelled by strict full patterns (distant supervision); every HIDDEN-th window
 is shown a second time without its list memberships, so that context counts too. Given and family
 names come from the author lists of all papers. What is sent to the tasks is the model and two bit
-filters of fixed size (2**FILTER_BITS bits each), whatever the number of names.
+filters of fixed size (2**tb.FILTER_BITS bits each), whatever the number of names.
 
 Kinds: email, phone, id_number, address, person. Family names alone, names inside an email address and
 numbers of works, grants or reports stay.
@@ -46,8 +46,6 @@ CONTEXT = 100
 BP_ROUNDS = 60
 BP_TOLERANCE = 1e-4
 BUCKETS = 1 << 16
-FILTER_BITS = 26
-FILTER_KEYS = 4
 MIN_FAMILIES = 2
 HIDDEN = 3
 
@@ -89,53 +87,11 @@ ADDRESS = re.compile(
 TOKEN = re.compile(r"\d+|[^\W\d_]+(?:[’'-][^\W\d_]+)*|[^\w\s]|_+")
 
 
-class Bits:
-    """A set of hashes as a bit filter of fixed size: no hash is ever missed; a foreign one is taken for a
-    member with a probability below 1e-9 for 100,000 names and below 1 % for five million."""
-
-    def __init__(self, blocks: np.ndarray | None = None, bits: np.ndarray | None = None):
-        self.word = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-        if blocks is not None and len(blocks):
-            np.bitwise_or.at(self.word, blocks, bits)
-
-    @staticmethod
-    def places(h: np.ndarray) -> np.ndarray:
-        """Bit numbers of each hash, FILTER_KEYS a row."""
-        x = h.astype(np.uint64)
-        out = np.empty((len(x), FILTER_KEYS), dtype=np.int64)
-        for k in range(FILTER_KEYS):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[:, k] = (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        return out
-
-    def add(self, h: np.ndarray) -> Bits:
-        at = self.places(h).ravel()
-        np.bitwise_or.at(self.word, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        return self
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), bool)
-        live = np.arange(len(h))
-        x = h.astype(np.uint64)
-        for _ in range(FILTER_KEYS):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            at = (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            ok = (self.word[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            live, x = live[ok], x[ok]
-            if not len(live):
-                return out
-        out[live] = True
-        return out
-
-    def __contains__(self, word: str) -> bool:
-        return bool(self.has(np.array([tb.hash_word(word)], np.uint64))[0])
-
-
 class Names:
     """Given names, family names, words that stand in lower case in several windows (common), and words of
     several windows in any case that are no names (vocab)."""
 
-    def __init__(self, given: Bits, family: Bits, common: frozenset[str] = frozenset(), vocab: frozenset[str] = frozenset()):
+    def __init__(self, given: tb.Bits, family: tb.Bits, common: frozenset[str] = frozenset(), vocab: frozenset[str] = frozenset()):
         h = lambda ws: np.unique(np.array([tb.hash_word(w) for w in ws], dtype=np.uint64))
         self.given, self.family, self.common, self.vocab = given, family, common, vocab
         self.titles = h(TITLES)
@@ -162,16 +118,13 @@ def _name_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(given, block, bits): the filter words that the names of a batch set."""
     for b in batches:
         data, off = tb.as_utf8(b["t"])
-        given = np.array(b["given"].to_pylist(), dtype=bool)
-        at = Bits.places(tb.hashes(data, off[:-1], off[1:]))
-        g, at = np.repeat(given, FILTER_KEYS), at.ravel()
-        key, inv = np.unique((at >> 6) * 2 + g, return_inverse=True)
-        bits = np.zeros(len(key), np.uint64)
-        np.bitwise_or.at(bits, inv, np.uint64(1) << (at & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(key % 2 == 1), pa.array(key // 2), pa.array(bits.view(np.int64))], names=["given", "block", "bits"])
+        h, given = tb.hashes(data, off[:-1], off[1:]), np.array(b["given"].to_pylist(), dtype=bool)
+        for kind in (True, False):
+            block, bits = tb.bit_rows(h[given == kind])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), kind)), pa.array(block), pa.array(bits)], names=["given", "block", "bits"])
 
 
-def name_lists(authors: DataFrame, column: str = "authors") -> tuple[Bits, Bits]:
+def name_lists(authors: DataFrame, column: str = "authors") -> tuple[tb.Bits, tb.Bits]:
     """Given names (tokens that stand first with several families) and family names of all author lists, as
     filters. Distinct tokens are counted, told apart, hashed and combined on the executors; what comes to
     the driver is at most the filters' fixed size."""
@@ -188,7 +141,7 @@ def name_lists(authors: DataFrame, column: str = "authors") -> tuple[Bits, Bits]
     bits = told.mapInArrow(_name_bits, "given boolean, block bigint, bits bigint").groupBy("given", "block").agg(F.bit_or("bits").alias("bits"))
     got = bits.toArrow()
     g, block, word = np.array(got["given"].to_pylist(), dtype=bool), got["block"].to_numpy(), got["bits"].to_numpy().view(np.uint64)
-    given, family = Bits(block[g], word[g]), Bits(block[~g], word[~g])
+    given, family = tb.Bits(block[g], word[g]), tb.Bits(block[~g], word[~g])
     return given.add(np.array([tb.hash_word(w) for w in GIVEN], np.uint64)), family
 
 
@@ -721,7 +674,7 @@ def _name_words(s: str) -> set[str]:
 # -------------------------------------------------------------------------------------------- Spark
 
 
-def _train_rows(given: Bits, family: Bits):
+def _train_rows(given: tb.Bits, family: tb.Bits):
     """Windows of the sample as text; they are labelled and used on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -737,7 +690,7 @@ def _train_rows(given: Bits, family: Bits):
     return run
 
 
-def learn(wins: list[tuple[int, str]], given: Bits, family: Bits) -> tuple[Model, Names]:
+def learn(wins: list[tuple[int, str]], given: tb.Bits, family: tb.Bits) -> tuple[Model, Names]:
     """The model and the names with the known words from windows (document, text) labelled by the strict patterns."""
     wins = sorted(set(wins), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     # equal windows of other documents say nothing new, but a document keeps all of its own
@@ -787,7 +740,7 @@ def learn(wins: list[tuple[int, str]], given: Bits, family: Bits) -> tuple[Model
     return fit(np.concatenate(xs), np.concatenate(ys), start, np.concatenate(skips)), names
 
 
-def train(docs: DataFrame, given: Bits, family: Bits, max_docs: int = TRAIN_DOCS) -> tuple[Model, Names]:
+def train(docs: DataFrame, given: tb.Bits, family: tb.Bits, max_docs: int = TRAIN_DOCS) -> tuple[Model, Names]:
     """The model and the names with the known words, from the windows of at most about max_docs documents."""
     total = docs.count()
     rate = min(1.0, max_docs / max(1, total))

@@ -5,9 +5,10 @@ family key (for groups: head word, topic, kind). The family keys are points unde
 Damerau-Levenshtein distance, a true metric. Pivots drawn from the points cut the space into cells; a
 point belongs to the cell of its nearest pivot and is copied to every other cell that can hold a
 neighbour within the radius (triangle inequality: d(x, p) <= d(x, home) + 2r and <= radius of the
-cell + r). Inside a cell an exact radius join is run. Within equal or neighbouring family keys, given
-names are then compared: equal, nickname, initial, or one edit where one of the two is no name of
-its own. Spellings that agree become one class.
+cell + r). Inside a cell an exact radius join is run, band by band of the distance to the pivot. Within
+equal or neighbouring family keys, given names are then compared, by joins on family and given name:
+equal, nickname, initial, or one edit where one of the two is no name of its own. Spellings that agree
+become one class.
 
 Work is on distinct strings; a string that fills a third of all rows counts once. Results are classes
 (name, class id); pairs are made only for p3_found, which asks for them, between different strings of
@@ -22,13 +23,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from scriptorium.llm import textbytes as tb
 from scriptorium.session import durable, ship
 
 MIN_FAMILIES = 2
@@ -36,9 +39,8 @@ ESTABLISHED = 3
 MISSPELT = 0.15
 RADIUS = 1
 POINTS_PER_CELL = 64
-MAX_PIVOTS = 1024
-SLICE = 4000
-MIN_EDIT_LENGTH = 5  # shorter keys must be equal
+MAX_PIVOTS = 1024  # distances per point; bands keep the cells' parts small beyond it
+MIN_EDIT_LENGTH = 5  # of shorter keys one edit apart, one has to be a rarity beside the other
 
 # fixed values: common nicknames and the names they stand for
 NICKNAMES = (
@@ -85,7 +87,7 @@ def _initials(tok: str, shouting: bool) -> str | None:
     return None
 
 
-def parse(name: str, given: frozenset[str]) -> dict | None:
+def parse(name: str, given: Container[str]) -> dict | None:
     """Parts of a name: kind p or g; family key; given name; initials; nickname. None for fillers."""
     s = re.sub(r"\([^)]*\)", " ", name)
     nick = re.search(r"[\"“„'‘]([^\W\d_]{2,})[\"”’']", s)
@@ -139,7 +141,7 @@ def parse(name: str, given: frozenset[str]) -> dict | None:
     return {"kind": "p", "family": key, "given": full, "initials": ini, "nick": plain(nick[1]) if nick else "", "topic": "", "raw": raw}
 
 
-def _order(toks: list[str], given: frozenset[str], shouting: bool) -> tuple[list[str], list[str]]:
+def _order(toks: list[str], given: Container[str], shouting: bool) -> tuple[list[str], list[str]]:
     """(family tokens, given tokens) of a name without comma."""
     if len(toks) == 1:
         return toks, []
@@ -261,45 +263,40 @@ def _copies(pivots: list[str], reach: list[int], r: int):
 
 
 def _cell_join(pdf):
-    """Exact radius join of a cell (or slice of one): home points against all points of the cell."""
+    """Exact radius join of a band of a cell: its own points against the points of the bands around it."""
     import pandas as pd
 
-    pts = pdf.drop_duplicates("point")
-    by_len: dict[tuple[int, int], list[str]] = {}
-    for p, d in zip(pts["point"], pts["d"]):
-        by_len.setdefault((len(p), int(d)), []).append(p)
+    by_len: dict[int, list[str]] = {}
+    for p in pdf["point"].drop_duplicates():
+        by_len.setdefault(len(p), []).append(p)
     out = []
-    mine = pdf[pdf["mine"]].drop_duplicates("point")
-    for p, d in zip(mine["point"], mine["d"]):
-        if len(p) < MIN_EDIT_LENGTH:
-            continue
-        # triangle inequality again: neighbours differ by at most the radius in their distance to the pivot
+    for p in pdf.loc[pdf["mine"], "point"].drop_duplicates():
         for n in range(len(p) - RADIUS, len(p) + RADIUS + 1):
-            for e in range(int(d) - RADIUS, int(d) + RADIUS + 1):
-                for q in by_len.get((n, e), ()):
-                    if q != p and len(q) >= MIN_EDIT_LENGTH and within_one(p, q):
-                        out.append((p, q))
+            out += [(p, q) for q in by_len.get(n, ()) if q != p and within_one(p, q)]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
 def neighbours(points: DataFrame) -> DataFrame:
-    """All ordered pairs (a, b) of different points within the radius; points has one column, point."""
+    """All ordered pairs (a, b) of different points within the radius; points has one column, point.
+
+    A cell is cut into bands by the distance to its pivot and by length: by the triangle inequality, again,
+    neighbours differ by at most the radius in both. A home point stands in its own band and is copied to the
+    eight around it, so a hot cell is spread over its bands and none of them sees the whole cell."""
     ship(points.sparkSession)
     n = points.count()
     k = min(MAX_PIVOTS, max(1, n // POINTS_PER_CELL))
     pivots = [r.point for r in points.orderBy(F.xxhash64("point"), "point").limit(k).collect()]
     if not pivots:
         return points.select(F.col("point").alias("a"), F.col("point").alias("b"))
-    parts = points.repartition(max(1, min(64, n // 2000 + 1)))
+    parts = points.repartition(max(1, n // 2000 + 1))
     home = parts.mapInArrow(_homes(pivots), "point string, cell int, d int")
-    stat = {r.cell: (r.d, r.n) for r in home.groupBy("cell").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")).collect()}
-    reach = [stat.get(c, (-1, 0))[0] for c in range(len(pivots))]
-    cop = parts.mapInArrow(_copies(pivots, reach, RADIUS), "point string, cell int, d int, home boolean")
-    # a hot cell is cut into slices of its home points; each slice sees all points of the cell
-    slices = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, max(1, -(-stat.get(c, (0, 0))[1] // SLICE)))])
-    cop = cop.withColumn("_k", slices[F.col("cell")]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    cop = cop.withColumn("mine", F.col("home") & (F.pmod(F.xxhash64("point"), F.col("_k")) == F.col("slice")))
-    return cop.select("cell", "slice", "point", "d", "mine").groupBy("cell", "slice").applyInPandas(_cell_join, "a string, b string")
+    stat = {r.cell: r.d for r in home.groupBy("cell").agg(F.max("d").alias("d")).collect()}
+    reach = [stat.get(c, -1) for c in range(len(pivots))]
+    cop = parts.mapInArrow(_copies(pivots, reach, RADIUS), "point string, cell int, d int, home boolean").withColumn("size", F.length("point"))
+    step = lambda: F.explode(F.sequence(F.lit(-RADIUS), F.lit(RADIUS)))
+    near = cop.withColumn("_d", step()).withColumn("_s", step())
+    near = near.select("cell", (F.col("d") + F.col("_d")).alias("band"), (F.col("size") + F.col("_s")).alias("of"), "point", (F.col("home") & (F.col("_d") == 0) & (F.col("_s") == 0)).alias("mine"))
+    return near.groupBy("cell", "band", "of").applyInPandas(_cell_join, "a string, b string")
 
 
 # ------------------------------------------------------------------------------------------ linking
@@ -310,17 +307,25 @@ def distinct_names(meta: DataFrame, column: str = "authors") -> DataFrame:
     return meta.select(F.explode(column).alias("name")).filter(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def given_names(names: DataFrame) -> frozenset[str]:
-    """Tokens that stand before several families: given names, a bounded vocabulary of a language."""
+def _given_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = {plain(w) for w in b["first"].to_pylist()} - PARTICLES - {"the"}
+        block, bits = tb.bit_rows(np.array([tb.hash_word(w) for w in sorted(words)], np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(bits)], names=["block", "bits"])
+
+
+def given_names(names: DataFrame) -> tb.Bits:
+    """Tokens that stand before several families: given names, as a bit filter of fixed size."""
     w = names.filter(~F.col("name").contains(",")).select(F.regexp_extract_all(F.regexp_replace("name", r"\([^)]*\)|\"[^\"]*\"", " "), F.lit(r"(?U)\p{L}[\p{L}’'-]+"), 0).alias("w")).filter("size(w) between 2 and 5")
     p = w.select(F.lower(F.element_at("w", 1)).alias("first"), F.lower(F.element_at("w", -1)).alias("last")).distinct()
     f = p.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     l = p.groupBy("last").agg(F.count(F.lit(1)).alias("m"))
-    rows = f.filter(F.col("n") >= MIN_FAMILIES).join(l, F.col("first") == F.col("last"), "left").filter(F.col("n") > 2 * F.coalesce("m", F.lit(0))).select("first").collect()
-    return frozenset(plain(r[0]) for r in rows) - PARTICLES - {"the"}
+    told = f.filter(F.col("n") >= MIN_FAMILIES).join(l, F.col("first") == F.col("last"), "left").filter(F.col("n") > 2 * F.coalesce("m", F.lit(0))).select("first")
+    got = told.mapInArrow(_given_bits, "block bigint, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return tb.Bits(got["block"].to_numpy(), got["bits"].to_numpy().view(np.uint64))
 
 
-def _parse_batches(given: frozenset[str]):
+def _parse_batches(given: tb.Bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(nm, n, p) for nm, n in zip(b["name"].to_pylist(), b["n"].to_pylist()) if (p := parse(nm, given))]
@@ -335,104 +340,112 @@ def parsed(names: DataFrame) -> DataFrame:
     return names.mapInArrow(_parse_batches(given_names(names)), "name string, n bigint, kind string, family string, given string, initials string, nick string, topic string, raw string")
 
 
-def _same_given(a: str, b: str) -> bool:
-    return a == b or b in NICK.get(a, ()) or a in NICK.get(b, ())
-
-
-def _person_edges(established: dict[str, int]):
-    """Edges among the people of one family key and its neighbours. established: families of each given
-    name that has several; beside one with far more, one edit away, it is a misspelling all the same. The rows are the distinct
-    (given, initials) forms of the keys, not names or rows of the data."""
-
-    def run(pdf):
-        import pandas as pd
-
-        out: list[tuple[str, str]] = []
-        home = pdf["center"].iloc[0]
-        forms = [tuple(r) for r in pdf[["node", "family", "given", "initials", "n"]].drop_duplicates("node").itertuples(index=False)]
-        full = [f for f in forms if f[2]]
-        by_given: dict[str, list[tuple]] = {}
-        for f in full:
-            by_given.setdefault(f[2], []).append(f)
-
-        def link(a: tuple, b: tuple) -> None:
-            out.append((a[0], b[0]))
-
-        for a in full:
-            for b in by_given[a[2]]:
-                # equal given name; families equal, or one of them the center and the other its neighbour
-                if b[0] != a[0] and (home in (a[1], b[1]) or a[1] == b[1]):
-                    link(a, b)
-            for g in NICK.get(a[2], ()):
-                for b in by_given.get(g, ()):
-                    if home in (a[1], b[1]) or a[1] == b[1]:
-                        link(a, b)
-            # one edit in the given name: the family must be equal and one of the two no name of its own
-            if len(a[2]) >= 3:
-                for b in full:
-                    if b[1] == a[1] and b[2] != a[2] and (a[2] not in established or established[a[2]] < MISSPELT * established.get(b[2], 0)) and (within_one(a[2], b[2]) or fold(a[2]) == fold(b[2])) and (b[2] in established or b[4] >= a[4]):
-                        link(a, b)
-        # initials: to the only person they fit
-        groups: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while groups.get(x, x) != x:
-                x = groups[x]
-            return x
-
-        for a, b in out:
-            groups[root(a)] = root(b)
-        short = [f for f in forms if not f[2] and f[1] == home]
-        by_ini: dict[str, list[tuple]] = {}
-        for s in short:
-            ini = s[3]
-            pool = [f for f in full if f[3][:1] == ini[:1]]
-            exact = [f for f in pool if f[1] == home]
-            cand = exact or pool
-            if len(ini) > 1:  # a second initial that fits decides
-                two = [f for f in cand if f[3][:2] == ini[:2]]
-                cand = two if two else [f for f in cand if len(f[3]) == 1] or cand
-            roots = {root(f[0]) for f in cand}
-            if len(roots) == 1:
-                out.append((s[0], max(cand, key=lambda f: (f[4], f[0]))[0]))
-            elif not roots:
-                by_ini.setdefault(ini[:1], []).append(s)
-        near_short = [f for f in forms if not f[2] and f[1] != home]
-        for c, ss in by_ini.items():
-            rest = [f for f in near_short if f[3][:1] == c]
-            for a in ss[1:] + rest:
-                out.append((ss[0][0], a[0]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of given names that are one edit apart."""
+    for b in batches:
+        ok = [within_one(x, y) for x, y in zip(b["ga"].to_pylist(), b["gb"].to_pylist())]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _cuts(word: str) -> Column:
+    """The word and what is left of it without one of its letters."""
+    w = F.col(word)
+    one = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.array_distinct(F.concat(F.array(w), one))
+
+
+def full_edges(full: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) of people with full given names. Every rule is a join on family and given name (or a nickname or
+    a given name without a letter), so that no family, however hot, has to stand in one task.
+    full: (node, family, given, n); near: ordered pairs (fa, fb) of neighbouring families."""
+    spark = full.sparkSession
+    a = full.select(F.col("node").alias("a"), F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("n").alias("na"))
+    b = full.select(F.col("node").alias("b"), F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("n").alias("nb"))
+    around = a.join(near, "fa")  # each person in the neighbouring families
+    equal = around.withColumn("gb", F.col("ga")).join(b, ["fb", "gb"]).select("a", "b")
+    # nicknames, in the same family and in neighbouring ones; the list is fixed
+    nick = F.broadcast(spark.createDataFrame([(n, g) for n, gs in NICK.items() for g in sorted(gs)], "ga string, gb string"))
+    named = around.select("a", "fb", "ga").unionByName(a.select("a", F.col("fa").alias("fb"), "ga")).join(nick, "ga").join(b, ["fb", "gb"]).select("a", "b")
+    # one edit in the given name: same family, and one of the two is no name of its own (known in fewer than
+    # ESTABLISHED families, or in far fewer than the other)
+    fam = full.groupBy("given").agg(F.count_distinct("family").alias("k"))
+    own = F.when(F.col("k") >= ESTABLISHED, F.col("k"))
+    ea, eb = fam.select(F.col("given").alias("ga"), own.alias("ka")), fam.select(F.col("given").alias("gb"), own.alias("kb"))
+    va = a.filter(F.length("ga") >= 3).select("a", "fa", "ga", "na", F.explode(_cuts("ga")).alias("v"))
+    vb = b.filter(F.length("gb") >= 2).select("b", F.col("fb").alias("fa"), "gb", "nb", F.explode(_cuts("gb")).alias("v"))
+    cand = va.join(vb, ["fa", "v"]).filter("ga <> gb").drop("v").distinct()
+    folded = lambda c: F.regexp_replace(c, r"([aou])e+", "$1")
+    alike = a.filter(F.length("ga") >= 3).withColumn("v", folded("ga")).join(b.withColumn("v", folded("gb")).withColumnRenamed("fb", "fa"), ["fa", "v"]).filter("ga <> gb")
+    weak = F.col("ka").isNull() | (F.col("ka") < MISSPELT * F.coalesce("kb", F.lit(0)))
+    told = lambda d: d.join(ea, "ga").join(eb, "gb").filter(weak & (F.col("kb").isNotNull() | (F.col("nb") >= F.col("na"))))
+    edited = told(cand).select("a", "b", "ga", "gb").mapInArrow(_verify, "a string, b string")
+    return equal.unionByName(named).unionByName(edited).unionByName(told(alike).select("a", "b"))
+
+
+def initial_edges(full: DataFrame, short: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(short form, its only person) and (short form, short form) of names with initials or a family alone.
+
+    The people of a family are summed up by their initials first: the least and greatest component and the
+    commonest form of each. An initial is given to a person only if all people it fits are one component: those
+    of its own family if there are any, else those of neighbouring ones; a second initial that fits decides.
+    full: (node, family, initials, n, root); short: (node, family, initials)."""
+    first = F.substring("initials", 1, 1).alias("c1")
+    sums = full.groupBy("family", first, F.substring("initials", 1, 2).alias("c2")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("n", "node")).alias("top"))
+    s = short.select(F.col("node").alias("s"), F.col("family").alias("fa"), first, F.substring("initials", 1, 2).alias("i2"))
+    x = sums.withColumnRenamed("family", "fb")
+    got = s.withColumn("fb", F.col("fa")).unionByName(s.join(near, "fa")).join(x, ["fb", "c1"]).withColumn("own", F.col("fa") == F.col("fb"))
+    mine = Window.partitionBy("s")
+    got = got.withColumn("_o", F.max("own").over(mine)).filter("own or not _o")
+    two = (F.length("i2") > 1) & (F.col("c2") == F.col("i2"))
+    one = (F.length("i2") > 1) & (F.length("c2") == 1)
+    got = got.withColumn("_r", F.when(F.max(two).over(mine), two).when(F.max(one).over(mine), one).otherwise(True)).filter("_r")
+    g = got.groupBy("s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"))
+    to_person = g.filter("lo = hi").select(F.col("s").alias("a"), F.col("top.node").alias("b"))
+    # initials that fit nobody: with their like of the family, and with their like of neighbouring ones
+    alone = s.join(g.select("s"), "s", "left_anti")
+    rep = alone.groupBy("fa", "c1").agg(F.min("s").alias("b"))
+    likes = alone.join(rep, ["fa", "c1"]).select(F.col("s").alias("a"), "b")
+    beyond = rep.join(near, "fa").join(s.select(F.col("fa").alias("fb"), "c1", F.col("s").alias("a")), ["fb", "c1"]).select("a", "b")
+    return to_person, likes.unionByName(beyond).filter("a <> b")
 
 
 def _group_edges(pdf):
+    """Groups of one kind under a head and its neighbours. The rows are distinct spellings; they meet by keys:
+    topic, acronym, words of the topic, topic without a word."""
     import pandas as pd
 
     home = pdf["center"].iloc[0]
-    forms = [tuple(r) for r in pdf[["node", "family", "given", "initials", "topic", "n"]].drop_duplicates("node").itertuples(index=False)]
-    out = []
+    forms = [(r.node, r.family, tuple(r.topic.split()), r.initials) for r in pdf[["node", "family", "initials", "topic"]].drop_duplicates("node").itertuples(index=False)]
+    out: set[tuple[str, str]] = set()
+    topic, acronym, word, gap = {}, {}, {}, {}
+    for f in forms:
+        t = f[2]
+        topic.setdefault(t, []).append(f)
+        if len(t) == 1 and len(t[0]) <= 4:
+            acronym.setdefault(t[0], []).append(f)
+        for w in set(t):
+            word.setdefault(w, []).append(f)
+        for i in range(len(t)):
+            gap.setdefault((len(t), i, t[:i], t[i + 1 :]), []).append(f)
     for a in forms:
-        if a[1] != home:
-            continue
-        for b in forms:
-            if a[0] == b[0] or a[2] != b[2]:
-                continue
-            ta, tb_ = a[4].split(), b[4].split()
-            same = ta == tb_ or (len(ta) == 1 and len(ta[0]) <= 4 and ta[0] == b[3]) or (len(tb_) == 1 and len(tb_[0]) <= 4 and tb_[0] == a[3])
-            some = bool(ta and tb_) and (set(ta) <= set(tb_) or set(tb_) <= set(ta))
-            close = len(ta) == len(tb_) > 0 and sum(x != y for x, y in zip(ta, tb_)) == 1 and all(x == y or within_one(x, y) for x, y in zip(ta, tb_))
-            if same or some or (close and a[1] == b[1]):
-                out.append((a[0], b[0]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(node, root): smallest node of each component; each round also jumps to the root's root."""
+        t = a[2]
+        like = [*topic[t], *acronym.get(a[3], ())]
+        if t:
+            some = set(t)
+            rare = min(some, key=lambda w: (len(word[w]), w))
+            like += [b for b in word[rare] if some <= set(b[2])]
+        for i in range(len(t)):
+            like += [b for b in gap[len(t), i, t[:i], t[i + 1 :]] if b[1] == a[1] and within_one(t[i], b[2][i])]
+        out.update((a[0], b[0]) for b in like if b[0] != a[0] and home in (a[1], b[1]))
+    return pd.DataFrame(sorted(out), columns=["a", "b"])
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): smallest node of each component; each round also jumps to the root's root. The rounds go
+    on until no label changes."""
     e = durable(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     lab = durable(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         least = e.join(lab, e.b == lab.node).groupBy("a").agg(F.min("root").alias("r2"))
         nxt = lab.join(least, lab.node == least.a, "left").select("node", "root", F.least("root", F.coalesce("r2", "root")).alias("new"))
         jump = nxt.select(F.col("node").alias("_n"), F.col("new").alias("_r"))
@@ -440,12 +453,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> Data
         changed = nxt.filter("root <> new").limit(1).count()
         lab = nxt.select("node", F.col("new").alias("root"))
         if not changed:
-            break
-    return lab
+            return lab
 
 
 def classes(meta: DataFrame, column: str = "authors") -> DataFrame:
-    """(name, n, class_id) of every string that names somebody."""
+    """(name, n, class_id, n_links) of every string that names somebody; n_links is the number of other
+    spellings in its class."""
     p = durable(parsed(distinct_names(meta, column)).withColumn("node", F.concat_ws("\x1f", "kind", "family", "given", "initials", "topic")))
     p = p.withColumn("node", F.when(F.col("kind") == "p", F.concat_ws("\x1f", F.lit("p"), "family", F.when(F.col("given") != "", F.col("given")).otherwise(F.concat(F.lit("."), F.col("initials"))))).otherwise(F.col("node")))
     nodes = durable(p.groupBy("node", "kind", "family", "given", "topic").agg(F.max_by("initials", F.struct(F.length("initials"), "initials")).alias("initials"), F.sum("n").alias("n")))
@@ -454,18 +467,33 @@ def classes(meta: DataFrame, column: str = "authors") -> DataFrame:
     points = durable(p.select(F.concat("kind", "raw").alias("point"), key.alias("key")).union(p.select(key.alias("point"), key.alias("key"))).distinct())
     near = neighbours(points.select("point").distinct()).filter(F.substring("a", 1, 1) == F.substring("b", 1, 1))
     ka, kb = points.select(F.col("point").alias("a"), F.col("key").alias("ka")), points.select(F.col("point").alias("b"), F.col("key").alias("kb"))
-    near = near.join(ka, "a").join(kb, "b").filter("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    keyed = nodes.withColumn("point", F.concat(F.col("kind"), F.col("family")))
-    # each key with itself and its neighbours: what a center has to compare
-    star = near.select(F.col("a").alias("center"), F.col("b").alias("point")).unionByName(keyed.select(F.col("point").alias("center"), "point").distinct())
-    around = star.join(keyed, "point").withColumn("center", F.expr("substring(center, 2)"))
-    fam = nodes.filter("kind = 'p' and given <> ''").groupBy("given").agg(F.count_distinct("family").alias("k"))
-    established = {r.given: r.k for r in fam.filter(F.col("k") >= ESTABLISHED).collect()}
-    people = around.filter("kind = 'p'").groupBy("center").applyInPandas(_person_edges(established), "a string, b string")
-    groups = around.filter("kind = 'g'").groupBy("center").applyInPandas(_group_edges, "a string, b string")
+    near = near.join(ka, "a").join(kb, "b").filter("ka <> kb").select("ka", "kb").distinct()
+    # short keys one edit apart are mostly different names: there one has to be a rarity beside the other
+    many = nodes.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    near = near.join(many.select(F.col("key").alias("ka"), F.col("k").alias("na")), "ka").join(many.select(F.col("key").alias("kb"), F.col("k").alias("nb")), "kb")
+    long_ = (F.length("ka") > MIN_EDIT_LENGTH) & (F.length("kb") > MIN_EDIT_LENGTH)
+    near = durable(near.filter(long_ | (F.least("na", "nb") < MISSPELT * F.greatest("na", "nb"))).select(F.substring("ka", 1, 1).alias("kind"), F.expr("substring(ka, 2)").alias("fa"), F.expr("substring(kb, 2)").alias("fb")))
+    people = near.filter("kind = 'p'").select("fa", "fb")
+    full, short = nodes.filter("kind = 'p' and given <> ''"), nodes.filter("kind = 'p' and given = ''")
+    # each head of groups with itself and its neighbours
+    heads = nodes.filter("kind = 'g'")
+    star = near.filter("kind = 'g'").select(F.col("fa").alias("center"), F.col("fb").alias("family")).unionByName(heads.select(F.col("family").alias("center"), "family").distinct())
+    groups = star.join(heads, "family").groupBy("center", "given").applyInPandas(_group_edges, "a string, b string")
     # a nickname in quotation marks stands beside the full name in one string: no edge needed
-    lab = components(nodes.select("node"), people.unionByName(groups))
-    return p.join(lab, "node").select("name", "n", F.sha1("root").alias("class_id"))
+    lab = components(nodes.filter("kind <> 'p' or given <> ''").select("node"), full_edges(full.select("node", "family", "given", "n"), people).unionByName(groups))
+    to_person, likes = initial_edges(full.join(lab, "node").select("node", "family", "initials", "n", "root"), short.select("node", "family", "initials"), people)
+    named = to_person.join(lab.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+    rest = short.select("node").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    lab = durable(lab.unionByName(rest))
+    # short forms without a person join what they resemble
+    r = lambda c: lab.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    tied = durable(likes.join(r("a"), "a").join(r("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct())
+    if tied.limit(1).count():
+        up = components(tied.select(F.col("a").alias("node")).union(tied.select("b")).distinct(), tied).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        lab = lab.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    out = durable(p.join(lab, "node").select("name", "n", F.sha1("root").alias("class_id")))
+    size = out.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return out.join(size, "class_id").select("name", "n", "class_id", "n_links")
 
 
 def pairs(cls: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 Method: expectation-maximization with a latent encoding chain. A chain says through which wrong
 decoding a word went (UTF-8 read as a single-byte encoding, once or twice, or one single-byte encoding
 read as another). For every distinct word with non-ASCII characters the chains that can be undone
-give candidate originals. The E-step weighs 'clean' against the chains by the chain's prior and by
-how well the candidate reads: a character model and the support of the same word elsewhere. The
-M-step re-estimates the character model, the word support and the priors from the weighted words.
-Priors are pooled by source and field, shrunk to the overall prior, so that weak evidence in many
-records adds up; each record is repaired by the posterior of its own source and field.
+give candidate originals. The E-step weighs 'clean' against the chains, in each source and field of its
+own, by the chains' prior there and by how well the candidate reads: a character model and the support
+of the same word elsewhere. The M-step re-estimates the character model, the word support, the overall
+priors and the priors of every source and field (shrunk to the overall ones) from the weighted words, so
+that weak evidence in many records of a source adds up. The rounds go on until the chains' mass settles;
+each record is repaired by the posterior of its own source and field.
 
 All work is on distinct words: records are reduced to (field, source, word) counts before anything is
 shuffled. What is collected is the character model, bounded by the alphabet, and the chain priors.
@@ -31,11 +32,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scriptorium.session import durable, is_small, ship
 
-ROUNDS = 3
+ROUNDS = 20  # at most; the loop ends when the chains' mass moves by no more than TOLERANCE of it
+TOLERANCE = 0.002
 SHRINK = 50.0
+SLIGHT = -14.0
 CLEAN_PRIOR = 0.97
 BROADCAST_ROWS = 100_000
 WORD = r"(?<![A-Za-z0-9\-\u0080-￿])[A-Za-z0-9\-]*+[\u0080-￿][A-Za-z0-9\-\u0080-￿]*"
@@ -208,40 +212,31 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in cols], pa.array(list(total.values()), pa.float64())], names=["pk", "k", "pf", "f", "w"])
 
 
-def _weigh(model_rows: list[tuple], prior: dict[str, float]):
+def _weigh(model_rows: list[tuple]):
+    """Log-likelihood of each way a word may have come about, given the character model and the support of
+    the candidate elsewhere. What is less than SLIGHT as likely as the best is left out; open says that more
+    than the clean reading is left."""
     state: dict[str, Reader] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not state:
             state["r"] = Reader(model_rows)
         read = state["r"]
-        floor = min(prior.values(), default=1e-4)
         for b in batches:
-            tok, n, chain, orig, post = [], [], [], [], []
+            rows = []
             for t, k, cands in zip(b["token"].to_pylist(), b["n"].to_pylist(), b["cands"].to_pylist()):
-                opts = []
-                for c in cands:
-                    name, o, support = c["chain"], c["original"], c["support"] or 0.0
-                    if name == LOST:
-                        continue
-                    s = math.log(prior.get(name, floor)) + read.logp(o) + 0.5 * math.log1p(support)
-                    opts.append((name, o, s))
+                if "�" in t:  # a lost byte is proof
+                    rows.append((t, k, LOST, None, 0.0, True))
+                    continue
                 odd = sum(ord(x) > 127 for x in t)
-                lost = "�" in t
-                opts = [] if lost else opts + [(UNKNOWN, None, math.log(prior.get(UNKNOWN, floor)) - 9.5 * odd - 2.0 * (len(t) - odd))]
-                if lost:
-                    opts = [(LOST, None, 0.0)]
+                opts = [(c["chain"], c["original"], read.logp(c["original"]) + 0.5 * math.log1p(c["support"] or 0.0)) for c in cands]
+                opts.append((UNKNOWN, None, -9.5 * odd - 2.0 * (len(t) - odd)))
                 top = max(s for *_, s in opts)
-                z = sum(math.exp(s - top) for *_, s in opts)
-                for name, o, s in opts:
-                    p = math.exp(s - top) / z
-                    if p > 1e-4 or name == CLEAN:
-                        tok.append(t)
-                        n.append(k)
-                        chain.append(name)
-                        orig.append(o)
-                        post.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(tok, pa.string()), pa.array(n, pa.int64()), pa.array(chain, pa.string()), pa.array(orig, pa.string()), pa.array(post, pa.float64())], names=["token", "n", "chain", "original", "post"])
+                opts = [o for o in opts if o[2] > top + SLIGHT or o[0] == CLEAN]
+                rows += [(t, k, name, o, max(s - top, 10 * SLIGHT), len(opts) > 1) for name, o, s in opts]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["token", "n", "chain", "original", "ll", "open"])
 
     return run
 
@@ -258,48 +253,58 @@ def words(parts: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
     return out
 
 
-def estimate(tok: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def estimate(tok: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(field, source, token, chain, original, p_garbled, everywhere): the words that are garbled more probably than
     not in records of this field and source, with the likeliest chain and original."""
     spark = tok.sparkSession
     ship(spark)
     by_source = durable(tok.groupBy("field", "source", "token").agg(F.count(F.lit(1)).alias("n")))
+    totals = by_source.groupBy("field", "source").agg(F.sum("n").alias("total"))
     vocab = by_source.groupBy("token").agg(F.sum("n").alias("n"))
     cands = durable(vocab.mapInArrow(_expand, "token string, n bigint, chain string, original string"))
     # before the first round a word with a control, lost or box character, or with letters of two scripts side
     # by side, is taken for garbled, all others for clean
     post = vocab.select("token", "n", F.lit(CLEAN).alias("chain"), F.col("token").alias("original"), F.when(F.col("token").rlike(ODD), 0.0).otherwise(1.0).alias("post"))
-    prior: dict[str, float] = {}
-    others = [*Chains().names, UNKNOWN]
-    for _ in range(rounds):
-        # M-step: character model (bounded by the alphabet) and priors to the driver, word support as a table
-        weighted = post.filter("original is not null and post > 0.01").groupBy(F.col("original").alias("word")).agg(F.sum(F.col("n") * F.col("post")).alias("w"))
+    others = [*Chains().names, UNKNOWN, LOST]
+    base = {c: (1 - CLEAN_PRIOR) / len(others) for c in others} | {CLEAN: CLEAN_PRIOR}
+    own = totals.select("field", "source", "total", F.lit(None).cast("map<string,double>").alias("w"), F.lit(0.0).alias("g"))
+    mass: dict[str, float] = {}
+    local = None
+    for k in range(rounds):
+        # M-step, words: the character model (bounded by the alphabet) goes to the driver, word support is a table
+        weighted = post.filter("original is not null and post > 0.001").groupBy(F.col("original").alias("word")).agg(F.sum(F.col("n") * F.col("post")).alias("w"))
         chars = weighted.mapInArrow(_char_counts, "pk string, k string, pf string, f string, w double").groupBy("pk", "k", "pf", "f").agg(F.sum("w").alias("w"))
         rows = [tuple(r) for r in chars.collect()]
-        mass = {r.chain: r.w for r in post.groupBy("chain").agg(F.sum(F.col("n") * F.col("post")).alias("w")).collect()}
-        total = sum(mass.values()) or 1.0
-        first = not prior
-        prior = {c: ((1 - CLEAN_PRIOR) / len(others) if first else (mass.get(c, 0.0) + 0.5) / (total + len(others))) for c in others}
-        prior[CLEAN] = CLEAN_PRIOR if first else max(0.5, mass.get(CLEAN, 0.0) / total)
         support = post.filter(F.col("chain") == CLEAN).select(F.col("token").alias("original"), (F.col("n") * F.col("post")).alias("support"))
-        seen = cands.join(support, "original", "left").groupBy("token", "n").agg(F.collect_list(F.struct("chain", "original", "support")).alias("cands"))
-        post = durable(seen.mapInArrow(_weigh(rows, prior), "token string, n bigint, chain string, original string, post double"))
-    # pooling by source and field, only for words that may be garbled at all
-    open_ = post.filter((F.col("chain") != CLEAN) & (F.col("post") > 0.01)).select("token").distinct()
-    maybe = post.join(open_, "token", "left_semi").select("token", "chain", "original", "post")
-    local = by_source.join(maybe, "token")
-    mass_g = local.groupBy("field", "source", "chain").agg(F.sum(F.col("n") * F.col("post")).alias("w"))
-    total_g = by_source.groupBy("field", "source").agg(F.sum("n").alias("total"))
-    base = F.create_map(*[F.lit(x) for kv in {**prior, LOST: 1.0}.items() for x in kv])
-    local = local.join(mass_g, ["field", "source", "chain"]).join(total_g, ["field", "source"])
-    p0 = base[F.col("chain")]
-    # half of the prior is the source's own, shrunk to the overall one, half is the overall one: a word that
-    # is garbled alone in its source is not explained away by the source
-    ratio = F.when(F.col("chain") == CLEAN, 1.0).otherwise(0.5 + 0.5 * (F.col("w") + SHRINK * p0) / (F.col("total") + SHRINK) / p0)
-    scored = local.withColumn("s", F.col("post") * ratio)
-    best = scored.groupBy("field", "source", "token").agg(
-        F.try_divide(F.sum(F.when(F.col("chain") != CLEAN, F.col("s")).otherwise(0.0)), F.sum("s")).alias("p_garbled"),
-        F.max_by(F.struct("chain", "original"), F.when(F.col("chain") != CLEAN, F.col("s"))).alias("b"),
+        seen = cands.filter(F.col("chain") != LOST).join(support, "original", "left").select("token", "n", "chain", "original", "support")
+        seen = seen.unionByName(cands.filter(F.col("chain") == LOST).withColumn("support", F.lit(None).cast("double")))
+        seen = seen.groupBy("token", "n").agg(F.collect_list(F.struct("chain", "original", "support")).alias("cands"))
+        like = durable(seen.mapInArrow(_weigh(rows), "token string, n bigint, chain string, original string, ll double, open boolean"))
+        # E-step: the posterior of each word in each field and source, by the chains' prior there: half of it the
+        # overall one, half the source's own, shrunk to the overall one. A word that can only be clean needs no source.
+        b = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])[F.col("chain")]
+        there = F.when(F.col("chain") == CLEAN, 1.0 - (F.col("g") + SHRINK * (1.0 - b)) / (F.col("total") + SHRINK)).otherwise((F.coalesce(F.try_element_at("w", F.col("chain")), F.lit(0.0)) + SHRINK * b) / (F.col("total") + SHRINK))
+        loc = by_source.select("field", "source", "token", F.col("n").alias("m")).join(like.filter("open"), "token").join(own, ["field", "source"])
+        loc = loc.withColumn("s", F.exp("ll") * (0.5 * b + 0.5 * F.greatest(there, F.lit(1e-12))))
+        local = durable(loc.select("field", "source", "token", "m", "n", "chain", "original", (F.col("s") / F.sum("s").over(Window.partitionBy("field", "source", "token"))).alias("p")))
+        pooled = local.groupBy("token", "n", "chain", "original").agg((F.sum(F.col("m") * F.col("p")) / F.first("n")).alias("post"))
+        post = like.filter("not open").select("token", "n", "chain", "original", F.lit(1.0).alias("post")).unionByName(pooled)
+        # M-step, chains: their mass overall, and in each field and source
+        now = {r.chain: r.w for r in post.groupBy("chain").agg(F.sum(F.col("n") * F.col("post")).alias("w")).collect()}
+        total = sum(now.values()) or 1.0
+        garbled = sum(w for c, w in now.items() if c != CLEAN)
+        moved = sum(abs(now.get(c, 0.0) - mass.get(c, 0.0)) for c in others)
+        mass = now
+        if k and moved <= tolerance * max(1.0, garbled):
+            break
+        base = {c: (mass.get(c, 0.0) + 0.5) / (total + len(others)) for c in others}
+        base[CLEAN] = max(0.5, mass.get(CLEAN, 0.0) / total)
+        per = local.filter(F.col("chain") != CLEAN).groupBy("field", "source", "chain").agg(F.sum(F.col("m") * F.col("p")).alias("x"))
+        per = per.groupBy("field", "source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "x"))).alias("w"), F.sum("x").alias("g"))
+        own = totals.join(per, ["field", "source"], "left").select("field", "source", "total", "w", F.coalesce("g", F.lit(0.0)).alias("g"))
+    best = local.groupBy("field", "source", "token").agg(
+        F.sum(F.when(F.col("chain") != CLEAN, F.col("p")).otherwise(0.0)).alias("p_garbled"),
+        F.max_by(F.struct("chain", "original"), F.when(F.col("chain") != CLEAN, F.col("p"))).alias("b"),
     )
     best = durable(best.select("field", "source", "token", F.col("b.chain").alias("chain"), F.col("b.original").alias("original"), "p_garbled"))
     # nearly all garbled words are garbled wherever they stand: those need no source beside them later

@@ -2,13 +2,13 @@
 
 Method: template canonicalisation. Numbers, names and units become typed placeholders (a run of one
 type is one placeholder), template windows of WIDTH tokens are hashed and joined with the windows of
-the items; where windows meet, the slots and the words between are compared: the stretch is aligned
-token by token, and the values in its slots say whether the passage is a copy or the same template
-with other values.
+the items; where windows meet, the stretch is aligned with the item's template token by token, and the
+values in its slots decide: a copy has the passage's own values in most slots, the same template with
+other values (a re-parameterised question) is reported as such and is no leak of the passage.
 
-The items are a stated small table, so their windows are sent to all tasks (their number is
-checked); documents are scanned once and never shuffled. Sentences that several items share are
-taken out of the items first.
+The windows of a block of items (MAX_BLOCK_CHARS characters; the usual table is one block) are the
+build side of the join and go to all tasks, more items are joined block by block; documents are scanned
+and never shuffled. Sentences that several items share are taken out of the items first.
 
 Defined results: null or empty documents and items meet nothing; equal items both leak where either
 does, unless every sentence is shared (then neither); repeated documents are all found; case,
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textbytes as tb
 from scriptorium.llm.p4_quality import PLACEHOLDERS
-from scriptorium.session import ship, spread
+from scriptorium.session import durable, ship, spread
 
 WIDTH = 5
 MIN_MATCH = 20  # words of the passage that stand in the document's stretch
 DENSITY = 0.85  # their share of the stretch; the same template with other values has less
 MAX_GAP = 4  # changed or missing words between matching runs
-MAX_ITEM_WINDOWS = 5_000_000
+SLOT_SHARE = 0.5  # slots with the passage's own values in a copy
+MAX_BLOCK_CHARS = 20_000_000
+COPY, CHANGED, TEMPLATE = "copy", "changed copy", "other values"
 
 # fixed values: English number words and common units
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -95,27 +97,55 @@ def _dehyphen(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data[~drop], off - gone[off]
 
 
-def item_rows(items: DataFrame) -> list[tuple[int, str]]:
-    return [(r[0], r[1]) for r in items.select("item_id", "text").collect() if r[0] is not None and r[1]]
+def _sentences(text: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?])\s+|\n+", text) if x.strip()]
 
 
-def own_passages(items: list[tuple[int, str]]) -> tuple[list[tuple[int, list[str]]], list[str]]:
-    """Each item without the sentences it shares with others, as tokens; and the names in the items."""
-    split = lambda t: [s for s in re.split(r"(?<=[.!?])\s+|\n+", t) if s.strip()]
-    norm = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower()))
-    shared = Counter(x for _, t in items for x in {norm(s) for s in split(t)})
+def _norm(sentence: str) -> str:
+    return " ".join(re.findall(r"[^\W_]+", sentence.lower()))
+
+
+def own_passages(items: list[tuple[int, str]], shared: frozenset[str] | None = None) -> tuple[list[tuple[int, list[str]]], list[str]]:
+    """Each item without the sentences it shares with others, as tokens; and the names in the items. shared:
+    the shared sentences in normal form, where they come from more items than these."""
+    if shared is None:
+        count = Counter(x for _, t in items for x in {_norm(s) for s in _sentences(t)})
+        shared = frozenset(x for x, n in count.items() if n > 1)
     low = Counter(w for _, t in items for w in re.findall(r"(?<![^\W\d_])[a-z]+(?![^\W\d_])", t))
     # a name is a capitalised word inside a sentence that never stands in lower case
     names = {w.lower() for _, t in items for w in re.findall(r"(?<=[a-z,;] )[A-Z][a-z]+", t)}
     out = []
     for i, t in items:
-        keep = [s for s in split(t) if shared[norm(s)] == 1]
-        ws = [w for s in keep for w in re.findall(r"[^\W_]+", s.lower())]
+        ws = [w for s in _sentences(t) if _norm(s) not in shared for w in re.findall(r"[^\W_]+", s.lower())]
         if ws:
             out.append((i, ws))
     return out, sorted(n for n in names if not low[n])
 
 
+def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(i, x) for i, t in zip(b["item_id"].to_pylist(), b["text"].to_pylist()) for x in {_norm(s) for s in _sentences(t)}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "sentence"])
+
+
+def item_blocks(items: DataFrame, max_chars: int) -> Iterator[tuple[list[tuple[int, str]], frozenset[str] | None]]:
+    """(items, shared sentences) in blocks of about max_chars characters, by hash of the id. One block holds the
+    usual table of items; beyond that shared sentences are counted on the executors, over all items, and a block
+    gets those of its own items."""
+    t = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and length(text) > 0")
+    size = t.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-size // max_chars)
+    if n <= 1:
+        yield [(r.item_id, r.text) for r in t.collect()], None
+        return
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
+    s = t.mapInArrow(_split_items, "item_id bigint, sentence string")
+    twice = s.groupBy("sentence").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).filter("a <> b").select("sentence")
+    t, s = t.withColumn("_p", part), durable(s.withColumn("_p", part).join(twice, "sentence").select("_p", "sentence").distinct())
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in t.filter(F.col("_p") == k).select("item_id", "text").collect()], frozenset(r.sentence for r in s.filter(F.col("_p") == k).select("sentence").collect())
+
+
 def _scan(passages: list[tuple[int, list[str]]], names: list[str], width: int, min_match: int, density: float, max_gap: int):
     state: dict = {}
 
@@ -132,7 +162,7 @@ def _scan(passages: list[tuple[int, list[str]]], names: list[str], width: int, m
         w = np.concatenate(win) if win else np.zeros(0, np.uint64)
         order = np.argsort(w, kind="stable")
         keys, first = np.unique(w[order], return_index=True)
-        state.update(canon=canon, keys=keys, first=np.append(first, len(w)), who=np.concatenate(who)[order] if win else w, pos=np.concatenate(pos)[order] if win else w)
+        state.update(slot=Slots(names), canon=canon, keys=keys, first=np.append(first, len(w)), who=np.concatenate(who)[order] if win else w, pos=np.concatenate(pos)[order] if win else w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not state:
@@ -161,7 +191,7 @@ def _scan(passages: list[tuple[int, list[str]]], names: list[str], width: int, m
                     if len(seeds) < 3:
                         continue
                     lo, hi = int(np.searchsorted(r, row)), int(np.searchsorted(r, row, "right"))
-                    got = _align(low, s, e, lo, hi, seeds, passages[item][1], width, min_match, density, max_gap)
+                    got = _align(low, s, e, lo, hi, seeds, passages[item][1], state["slot"], width, min_match, density, max_gap)
                     if got:
                         rows.append((b["_key"][i + row].as_py(), passages[item][0], *got))
             cols = list(zip(*rows)) if rows else [[]] * 7
@@ -171,11 +201,23 @@ def _scan(passages: list[tuple[int, list[str]]], names: list[str], width: int, m
     return run
 
 
-_NUMBER = frozenset(NUMBER_WORDS)
+class Slots:
+    """The type of a word's slot in a template, or the word itself."""
 
+    def __init__(self, names: list[str]):
+        self.kind = dict.fromkeys(names, "<name>") | dict.fromkeys(UNIT_WORDS, "<unit>") | dict.fromkeys(NUMBER_WORDS, "<number>")
 
-def _align(low, s, e, lo, hi, seeds, passage, width, min_match, density, max_gap):
-    """Longest stretch of the document's tokens that follows the passage, or None."""
+    def __call__(self, word: str) -> str:
+        return "<number>" if word.isdigit() else self.kind.get(word, word)
+
+
+def _align(low, s, e, lo, hi, seeds, passage, slot, width, min_match, density, max_gap):
+    """Longest stretch of the document's tokens that follows the passage's template, or None: (words of the
+    passage in it, words of the stretch, slots with equal values, slots, kind).
+
+    The decision is by the slots: where at least SLOT_SHARE of the slots hold the passage's own values, the
+    stretch is a copy if the passage's own words are min_match and density of it; where fewer do, it is the
+    same template with other values."""
     seeds = sorted(seeds)
     best = None
     group = [seeds[0]]
@@ -184,11 +226,12 @@ def _align(low, s, e, lo, hi, seeds, passage, width, min_match, density, max_gap
         if x[0] - group[-1][0] > 40:
             groups.append(group := [])
         group.append(x)
+    template = [slot(w) for w in passage]
     for g in groups:
         a, b = max(lo, g[0][0] - 40), min(hi, g[-1][0] + 40 + width)
         words = [bytes(low[s[z] : e[z]]).decode("utf-8", "replace") for z in range(a, b)]
         runs: list[list[tuple[int, int, int]]] = []
-        for m in SequenceMatcher(None, words, passage, autojunk=False).get_matching_blocks():
+        for m in SequenceMatcher(None, [slot(w) for w in words], template, autojunk=False).get_matching_blocks():
             if not m.size:
                 continue
             if runs and m.a - (runs[-1][-1][0] + runs[-1][-1][2]) <= max_gap and m.b - (runs[-1][-1][1] + runs[-1][-1][2]) <= max_gap:
@@ -196,25 +239,33 @@ def _align(low, s, e, lo, hi, seeds, passage, width, min_match, density, max_gap
             else:
                 runs.append([tuple(m)])
         for run in runs:
-            matched = sum(z[2] for z in run)
+            in_template = sum(z[2] for z in run)
             stretch = run[-1][0] + run[-1][2] - run[0][0]
-            if matched >= min_match and matched >= density * stretch and (best is None or matched > best[0]):
-                slots = equal = 0
-                for z in run:
-                    n = sum(1 for w in passage[z[1] : z[1] + z[2]] if w.isdigit() or w in _NUMBER)
-                    slots, equal = slots + n, equal + n
-                for y, z in zip(run, run[1:]):
-                    slots += sum(1 for w in passage[y[1] + y[2] : z[1]] if w.isdigit() or w in _NUMBER)
-                best = (matched, stretch, equal, slots, "copy" if slots == equal else "other values")
+            if in_template < min_match or in_template < density * stretch:
+                continue
+            pairs = [(words[i + k], passage[j + k], template[j + k]) for i, j, n in run for k in range(n)]
+            own = sum(x == y for x, y, _ in pairs)
+            slots = sum(t[0] == "<" for *_, t in pairs)
+            equal = sum(t[0] == "<" and x == y for x, y, t in pairs)
+            copy = equal >= SLOT_SHARE * slots and own >= min_match and own >= density * stretch
+            if best is None or (copy, own) > (best[-1] != TEMPLATE, best[0]):
+                best = (own, stretch, equal, slots, TEMPLATE if not copy else COPY if own == stretch else CHANGED)
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, min_match: int = MIN_MATCH, density: float = DENSITY, max_gap: int = MAX_GAP) -> DataFrame:
-    """(doc_id, item_id, matched_words, stretch_words, slots_equal, slots, kind)."""
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, min_match: int = MIN_MATCH, density: float = DENSITY, max_gap: int = MAX_GAP, max_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, matched_words, stretch_words, slots_equal, slots, kind); kind is copy, changed copy or
+    other values. Items beyond max_chars are searched in blocks, a scan of the documents each."""
     ship(docs.sparkSession)
-    passages, names = own_passages(item_rows(items))
-    if sum(len(w) for _, w in passages) > MAX_ITEM_WINDOWS:
-        raise ValueError("the items are too large to be sent to every task; split them and join the parts' results")
     d = spread(docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()))
-    out = d.mapInArrow(_scan(passages, names, width, min_match, density, max_gap), "doc_id bigint, item_id bigint, matched_words int, stretch_words int, slots_equal int, slots int, kind string")
+    out = None
+    for block, shared in item_blocks(items, max_chars):
+        passages, names = own_passages(block, shared)
+        one = d.mapInArrow(_scan(passages, names, width, min_match, density, max_gap), "doc_id bigint, item_id bigint, matched_words int, stretch_words int, slots_equal int, slots int, kind string")
+        out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("doc_id", key)
+
+
+def leaked(found: DataFrame) -> DataFrame:
+    """The copies; the same template with other values is no passage of the item."""
+    return found.filter(F.col("kind") != TEMPLATE)

@@ -202,7 +202,7 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return p8_leak.leaked(_leaks(spark, d)).select("doc_id", "item_id")
 
 
 @query("p8_leaks")

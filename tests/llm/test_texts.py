@@ -265,9 +265,24 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     got = {(r.doc_id, r.item_id) for r in p8_leak.leaks(d, items).collect()}
     assert got == {(k, 1) for k in (1, 2, 7, 8, 9)}
+    # the same items in several blocks, their shared sentences counted on the executors
+    blocks = {(r.doc_id, r.item_id) for r in p8_leak.leaks(d, items, max_chars=150).collect()}
+    assert blocks == got and len(list(p8_leak.item_blocks(items, 150))) > 1
     assert p8_leak.leaks(d.limit(0), items).count() == 0 and p8_leak.leaks(d, items.limit(0)).count() == 0
 
 
+def test_other_values_are_no_leak(spark):
+    text = "A tank holds 412 litres of water and is filled by 7 pumps that run for 35 minutes each day, while 18 valves lose 9 litres in 4 hours until Harwick closes them after 26 days."
+    other = text
+    for a, b in (("412", "980"), ("7 pumps", "3 pumps"), ("35", "52"), ("18", "44"), ("9 litres", "6 litres"), ("4 hours", "8 hours"), ("Harwick", "Bramley"), ("26", "31")):
+        other = other.replace(a, b)
+    items = spark.createDataFrame([(1, text), (2, "It is said that Bramley and Harwick are far away, and nothing else stands in this item at all.")], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"Before. {text} After."), (2, f"Before. {other} After."), (3, text.replace("holds", "keeps").replace("412", "413"))], "doc_id long, text string")
+    found = p8_leak.leaks(d, items)
+    assert {(r.doc_id, r.kind) for r in found.collect()} == {(1, "copy"), (2, "other values"), (3, "changed copy")}
+    assert {r.doc_id for r in p8_leak.leaked(found).collect()} == {1, 3}
+
+
 # ------------------------------------------------------------------------------------------ names
 
 
@@ -299,8 +314,8 @@ def test_names_of_all_papers(spark):
 def test_filter_misses_no_hash():
     rnd = np.random.default_rng(1)
     h = rnd.integers(0, 1 << 63, 20_000, dtype=np.uint64)
-    b = p10_pii.Bits().add(h[:10_000])
-    assert b.has(h[:10_000]).all() and not b.has(h[10_000:]).any() and not p10_pii.Bits().has(h).any()
+    b = tb.Bits().add(h[:10_000])
+    assert b.has(h[:10_000]).all() and not b.has(h[10_000:]).any() and not tb.Bits().has(h).any()
 
 
 def random_model(seed):
@@ -355,7 +370,7 @@ def trained():
     docs = pq.read_table(f"{b}/documents.parquet", columns=["doc_id", "text"]).slice(3000).to_pydict()
     names = [w.lower() for x in pq.read_table(f"{b}/paper_metadata.parquet", columns=["authors"]).to_pydict()["authors"] for y in x or [] for w in [(y or "").split(" ")[-1]] if len(w) > 3]
     h = lambda ws: np.array([tb.hash_word(w) for w in ws], np.uint64)
-    given, family = p10_pii.Bits().add(h(p10_pii.GIVEN)), p10_pii.Bits().add(h(names))
+    given, family = tb.Bits().add(h(p10_pii.GIVEN)), tb.Bits().add(h(names))
     wins = [(k, w) for k, t in zip(docs["doc_id"], docs["text"]) if t for w in cut(t, p10_pii.Names(given, family))]
     return p10_pii.learn(wins, given, family)
 
