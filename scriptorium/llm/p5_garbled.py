@@ -7,7 +7,7 @@ give candidate originals. The E-step weighs 'clean' against the chains, in each
 own, by the chains' prior there and by how well the candidate reads: a character model and the support
 of the same word elsewhere. The M-step re-estimates the character model, the word support, the overall
 priors and the priors of every source and field (shrunk to the overall ones) from the weighted words, so
-that weak evidence in many records of a source adds up. The rounds go on until the chains' mass settles;
+that weak evidence in many records of a source adds up. The rounds go on until the garbled mass settles;
 each record is repaired by the posterior of its own source and field.
 
 All work is on distinct words: records are reduced to (field, source, word) counts before anything is
@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from scriptorium.session import durable, is_small, ship
 
-ROUNDS = 20  # at most; the loop ends when the chains' mass moves by no more than TOLERANCE of it
+ROUNDS = 20  # at most; the loop ends when the garbled mass moves by no more than TOLERANCE of it
 TOLERANCE = 0.002
 SHRINK = 50.0
 SLIGHT = -14.0
@@ -293,7 +293,8 @@ def estimate(tok: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE)
         now = {r.chain: r.w for r in post.groupBy("chain").agg(F.sum(F.col("n") * F.col("post")).alias("w")).collect()}
         total = sum(now.values()) or 1.0
         garbled = sum(w for c, w in now.items() if c != CLEAN)
-        moved = sum(abs(now.get(c, 0.0) - mass.get(c, 0.0)) for c in others)
+        # chains with the same original share their mass in any way: what has to settle is what is garbled
+        moved = abs(garbled - sum(w for c, w in mass.items() if c != CLEAN))
         mass = now
         if k and moved <= tolerance * max(1.0, garbled):
             break

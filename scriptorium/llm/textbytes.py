@@ -186,7 +186,7 @@ class Bits:
         return out
 
     def __contains__(self, word: str) -> bool:
-        return bool(self.has(np.array([tb.hash_word(word)], np.uint64))[0])
+        return bool(self.has(np.array([hash_word(word)], np.uint64))[0])
 
 
 def bit_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
