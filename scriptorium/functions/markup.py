@@ -13,36 +13,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# fixed values of the cleaning chain
+# fixed values of the cleaning chain: environments and commands, and the patterns of the steps in order
 FLOATS = ("figure", "table")
 TABULARS = ("tabular", "tabularx", "longtable")
 MATH_ENVS = ("equation", "align", "gather", "multline", "eqnarray", "math", "displaymath")
-REF_COMMANDS = "ref|label|eqref|autoref|pageref|nameref"
-FONT_COMMANDS = "textbf|textit|emph|texttt|textsc|textrm|textsf|underline|text|mbox"
+REF_COMMANDS = ("ref", "label", "eqref", "autoref", "pageref", "nameref")
+FONT_COMMANDS = ("textbf", "textit", "emph", "textsc", "textrm", "texttt", "textsf", "textsl", "underline", "mbox")
 COMMENT_RX = r"(?md)(?<!\\)%.*$"
 
-_ENV = r"(?s)\\begin\{{{0}\*?\}}.*?\\end\{{{0}\*?\}}"
+
+def _env(names: tuple[str, ...], star: str) -> str:
+    one = "(?:" + "|".join(names) + ")" + star
+    return rf"(?s)\\begin\{{{one}\}}.*?\\end\{{{one}\}}"
 
 
 def _steps() -> list[tuple[str, str]]:
-    """C2 to C20 in order: (pattern, replacement)."""
-    out: list[tuple[str, str]] = [(_ENV.format(f"(?:{'|'.join(names)})"), "") for names in (FLOATS, TABULARS, MATH_ENVS)]
-    out += [
+    """C2 to C20 in order: (pattern, replacement). White space, digits and word borders are Unicode's."""
+    refs, fonts = "|".join(REF_COMMANDS), "|".join(FONT_COMMANDS)
+    return [
+        (_env(FLOATS, r"\*?"), ""), (_env(TABULARS, ""), ""), (_env(MATH_ENVS, r"\*?"), ""),
         (r"(?s)\\\[.*?\\\]", ""), (r"(?s)\$\$.*?\$\$", ""), (r"(?s)\\\(.*?\\\)", ""), (r"\$[^$]+\$", ""),
-        (r"\\cite\w*\*?(?:\[[^\]]*\])*\{[^}]*\}", ""),
-        (rf"\\(?:{REF_COMMANDS})\{{[^}}]*\}}", ""),
-        (r"\\caption(?:\[[^\]]*\])?\{[^}]*\}", ""),
-        (r"\\footnote\{([^}]*)\}", "$1"), (r"\\href\{[^}]*\}\{([^}]*)\}", "$1"), (r"\\url\{[^}]*\}", ""),
-        (rf"\\(?:{FONT_COMMANDS})\{{([^}}]*)\}}", "$1"),
-        (r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", ""),
-        (r"\\item(?:\[[^\]]*\])?", ""),
-        (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", ""),
+        (r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", ""), (rf"\\(?:{refs})\{{[^}}]*\}}", ""), (r"\\caption\*?(?:\[[^\]]*\])?\{[^}]*\}", ""),
+        (r"\\footnote\{([^}]*)\}", "$1"), (r"\\href\{[^}]*\}\{([^}]*)\}", "$1"), (r"\\url\{[^}]*\}", ""), (rf"\\(?:{fonts})\{{([^}}]*)\}}", "$1"),
+        (r"\\begin\{[^}]*\}", ""), (r"\\end\{[^}]*\}", ""), (r"(?U)\\item\s*(?:\[[^\]]*\])?", ""),
+        (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])*(?:\{[^}]*\})*", ""),
         (r"\\([%&#_$])", "$1"), ("~", " "), ("---", "\u2014"), ("--", "\u2013"), (r"[{}]", ""), (r"\\", ""),
-        (r"\bet\s+al\b\.?", ""),
-        (r"\[\d+(?:\s*,\s*\d+)*\]", ""), (r"\((?:19|20)\d{2}\)", ""),
-        (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;])\s*\1+", "$1"),
+        (r"(?U)\bet\s+al\b\.?", ""), (r"(?U)\[\s*[\d,;\s]+\s*\]", ""), (r"(?U)\(\s*\d{4}\s*\)", ""),
+        (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"(?U)\s+([.,;:!?])", "$1"), (r"(?U)([.,;])\s*\1+", "$1"),
     ]
-    return out
 
 
 def strip_comments(text: Column | str) -> Column:

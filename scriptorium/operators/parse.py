@@ -1,18 +1,12 @@
-"""LaTeX sources to sections. Root choice and section splitting are relational; resolving includes is
-recursive per paper and runs on its map of files."""
+"""LaTeX sources to sections. Root choice, includes and section splitting are all relational."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
 from scriptorium.functions import markup as M
+from scriptorium.session import durable
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_DEPTH = 10
@@ -22,7 +16,7 @@ SECTION_RX = r"\\(section|subsection|subsubsection)\*?(?:\[[^\]]*\])?\{([^{}]*(?
 TOP_RX = r"\\section\*?(?:\[[^\]]*\])?\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 SUB_RX = r"\\sub(?:sub)?section\*?(?:\[[^\]]*\])?\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 ABSTRACT_RX = r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}"
-INCLUDE_RX = re.compile(r"\\(?:input|include)\{([^}]+)\}")
+INCLUDE_RX = r"\\(?:input|include)\{([^}]+)\}"
 ALT_RX = r"(?m)^(?:\d+|[IVX]+)\.?\s+([A-Z][A-Za-z\s]+?)$"
 
 
@@ -37,40 +31,60 @@ def root_file(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     rank = F.when(F.instr("path", "/") > 0, len(ROOT_NAMES)).otherwise(F.coalesce(*[F.when(name == n, i) for i, n in enumerate(ROOT_NAMES)], F.lit(len(ROOT_NAMES))))
     f = files.filter(F.col("path").endswith(".tex") & (F.octet_length("text") <= max_bytes))
-    w = Window.partitionBy("arxiv_id").orderBy(F.col("text").contains(r"\documentclass").desc(), rank, F.length("text").desc(), "path")
-    return f.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("arxiv_id", F.col("path").alias("root"))
-
-
-def resolve(files: dict[str, str], path: str, depth: int = 0) -> str:
-    """P3 for one paper: files included are put in place; a missing file is empty."""
-    text = files.get(path, "")
-    if depth >= MAX_DEPTH:
-        return text
-    base = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
-
-    def put(m: re.Match) -> str:
-        name = m[1].strip()
-        for cand in (name, name + ".tex"):
-            full = re.sub(r"(^|/)\./", r"\1", base + cand)
-            hit = full if full in files else next((p for p in sorted(files) if p == cand or p.endswith("/" + cand)), None)
-            if hit is not None and hit != path:
-                return resolve(files, hit, depth + 1)
-        return ""
-
-    return INCLUDE_RX.sub(put, text)
-
-
-@F.pandas_udf(StringType())
-def _assemble(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for files, roots in parts:
-        yield pd.Series([resolve({f["path"]: f["text"] or "" for f in fs}, r) for fs, r in zip(files, roots)])
-
-
-def assemble(files: DataFrame) -> DataFrame:
-    """(arxiv_id, text) with includes resolved and comments taken off after that."""
-    root = root_file(files)
-    g = files.groupBy("arxiv_id").agg(F.collect_list(F.struct("path", "text")).alias("files"))
-    return g.join(root, "arxiv_id").select("arxiv_id", M.strip_comments(_assemble("files", "root")).alias("text"))
+    # the least key wins; picked by a partial aggregation, so that a paper of any number of files is combined early
+    key = F.struct(~F.col("text").contains(r"\documentclass"), rank, -F.length("text"), "path")
+    return f.groupBy("arxiv_id").agg(F.min_by("path", key).alias("root"))
+
+
+def pieces(text: Column) -> Column:
+    """The text between includes and the names included, alternating: (literal, name or null)."""
+    lit = F.split(text, INCLUDE_RX)
+    names = F.regexp_extract_all(text, F.lit(INCLUDE_RX), 1)
+    return F.transform(lit, lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("literal"), F.trim(F.get(names, i)).alias("name")))
+
+
+def assemble(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(arxiv_id, text): included files put in place, at most max_depth deep, a missing file empty;
+    comments are taken off after that.
+
+    Includes are resolved for all papers at once, one level at a time: a piece that names a file is joined with
+    the paper's files and gives way to that file's pieces. A level costs one join of the named pieces, not of
+    the texts, and no paper's files have to stand in one row before the last step. A name is looked for beside
+    the including file, then as the end of any path, with and without .tex; ties go to the least path."""
+    f = files.select("arxiv_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    root = root_file(f)
+    now = f.join(root, (f.arxiv_id == root.arxiv_id) & (f.path == root.root)).select(f.arxiv_id, F.array().cast("array<int>").alias("at"), "path", "text")
+    done = None
+    for depth in range(max_depth + 1):
+        if depth == max_depth:  # deeper includes stay as they are written
+            done = done.unionByName(now.select("arxiv_id", "at", F.col("text").alias("literal")))
+            break
+        p = now.select("arxiv_id", "at", "path", F.posexplode(pieces(F.col("text"))).alias("k", "p")).select("arxiv_id", F.concat("at", F.array("k")).alias("at"), "path", "p.literal", "p.name")
+        text = p.select("arxiv_id", F.concat("at", F.array(F.lit(0))).alias("at"), "literal")
+        done = text if done is None else done.unionByName(text)
+        named = p.filter("name is not null").select("arxiv_id", F.concat("at", F.array(F.lit(1))).alias("at"), "path", "name")
+        now = durable(included(named, f))
+        if not now.limit(1).count():
+            break
+    g = done.filter("literal <> ''").groupBy("arxiv_id").agg(F.sort_array(F.collect_list(F.struct("at", "literal"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["literal"]), "")
+    return root.select("arxiv_id").join(g, "arxiv_id", "left").select("arxiv_id", M.strip_comments(F.coalesce(text, F.lit(""))).alias("text"))
+
+
+def included(named: DataFrame, files: DataFrame) -> DataFrame:
+    """(arxiv_id, at, path, text) of the file each name stands for; a file doesn't include itself."""
+    base = F.regexp_extract("path", "^(.*/)?", 0)
+    want = named.select("arxiv_id", "at", F.col("path").alias("_from"), base.alias("_base"), F.posexplode(F.array("name", F.concat("name", F.lit(".tex")))).alias("_c", "_want"))
+    want = want.withColumn("_full", F.regexp_replace(F.concat("_base", "_want"), r"(^|/)\./", "$1"))
+    # every ending of a path that begins after a slash, and the path itself
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    by_end = files.select("arxiv_id", F.col("path").alias("_path"), F.explode(ends).alias("_end"))
+    exact = want.join(files.select("arxiv_id", F.col("path").alias("_full")).withColumn("_path", F.col("_full")), ["arxiv_id", "_full"]).withColumn("_k", F.lit(0))
+    loose = want.join(by_end, (want.arxiv_id == by_end.arxiv_id) & (want["_want"] == by_end["_end"])).drop(by_end.arxiv_id).drop("_end").withColumn("_k", F.lit(1))
+    hit = exact.select("arxiv_id", "at", "_from", "_c", "_k", "_path").unionByName(loose.select("arxiv_id", "at", "_from", "_c", "_k", "_path")).filter(F.col("_path") != F.col("_from"))
+    best = hit.groupBy("arxiv_id", "at").agg(F.min(F.struct("_c", "_k", "_path")).alias("_b")).select("arxiv_id", "at", F.col("_b._path").alias("path"))
+    return best.join(files, ["arxiv_id", "path"]).select("arxiv_id", "at", "path", "text")
 
 
 def sections(docs: DataFrame, key: str = "arxiv_id", text: str = "text") -> DataFrame:

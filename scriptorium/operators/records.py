@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions import headings as H
 from scriptorium.schemas import NO_SOURCE, RETRY_STATUSES, STATUSES
+from scriptorium.session import durable, ship
 
 
 def in_category(categories: Column, prefix: str = "cs") -> Column:
@@ -79,9 +83,12 @@ def latest_records(records: DataFrame, key: Column, order: Column) -> DataFrame:
 
 
 def left_metrics(papers: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics beside papers. The right key is made unique first, so that no row can multiply."""
+    """Metrics beside papers. A key that stands in the metrics more than once is an error when the
+    rows are read, as it would multiply papers; rows that are the same in all columns are one."""
     cols = [c for c in metrics.columns if c not in keys]
-    right = metrics.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+    one = metrics.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("_lo"), F.max(F.struct(*cols)).alias("_hi"))
+    checked = F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo")).otherwise(F.raise_error(F.concat(F.lit("metrics with several rows for "), F.concat_ws(", ", *keys))).cast(one.schema["_lo"].dataType))
+    right = one.select(*keys, checked.alias("_m")).select(*keys, *[F.col("_m")[c].alias(c) for c in cols])
     return papers.join(right, keys, "left")
 
 
@@ -118,8 +125,42 @@ def non_blank(x: Column) -> Column:
 
 
 def classify_sections(sections: DataFrame, heading: str = "heading") -> DataFrame:
-    """X22 for section rows."""
-    return sections.withColumn("_c", H.classify(F.coalesce(F.col(heading), F.lit("")))).select("*", "_c.section_type", "_c.confidence", "_c.method").drop("_c")
+    """X22 for section rows; a column model_reply, where there is one, is the third tier."""
+    tier3 = H.parse_reply("model_reply") if "model_reply" in sections.columns else None
+    return sections.withColumn("_c", H.classify(F.coalesce(F.col(heading), F.lit("")), tier3)).select("*", "_c.section_type", "_c.confidence", "_c.method").drop("_c", "model_reply")
+
+
+def prompt(heading: str | None, content: str | None, sample: int = 500) -> str:
+    """What a model is asked about a section."""
+    return (
+        "Tell whether this section of a scholarly paper discusses related work.\n"
+        f"Heading: {heading or ''}\nBegin of the text: {(content or '')[:sample]}\n"
+        'Answer with JSON alone: {"section_type": "related_work" or "other", "confidence": a number from 0 to 1}'
+    )
+
+
+def model_sections(sections: DataFrame, make: Callable[[], Callable[[str], str]], max_calls: int = 10_000, key: str = "section_id") -> DataFrame:
+    """The sections with a model's reply (model_reply) where the rules leave them open, for at most
+    max_calls of them in order of (paper, key); the cap on cost is the feature. make builds the client once per
+    Python worker; a call that fails leaves no reply, so the section stays other."""
+    h = F.coalesce(F.col("heading"), F.lit(""))
+    ship(sections.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = make()
+        for b in batches:
+            out = []
+            for x, y in zip(b["heading"].to_pylist(), b["content"].to_pylist()):
+                try:
+                    out.append(call(prompt(x, y)))
+                except Exception:  # noqa: BLE001  a client may fail in any way
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b["arxiv_id"], b[key], pa.array(out, pa.string())], names=["arxiv_id", key, "model_reply"])
+
+    open_ = sections.filter((H.from_heading(h) != H.RELATED) & H.fuzzy(h).isNull()).orderBy("arxiv_id", key).limit(max_calls)
+    kind = sections.schema[key].dataType.simpleString()
+    replies = durable(open_.select("arxiv_id", key, "heading", "content").mapInArrow(ask, f"arxiv_id string, {key} {kind}, model_reply string"))
+    return sections.join(replies, ["arxiv_id", key], "left")
 
 
 def merge_sections(classified: DataFrame, key: str = "arxiv_id", order: str = "section_order", part_chars: int = 64_000_000) -> DataFrame:

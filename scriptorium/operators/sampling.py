@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions import text as T
+from scriptorium.operators.corpus import null_safe, quantiles
+from scriptorium.session import durable
 
 SLICES = 256
 
@@ -16,11 +18,11 @@ SLICES = 256
 def manifest(corpus: DataFrame) -> DataFrame:
     """X17 and X18 for corpus records: one row per record with its counts."""
     c = corpus.withColumn("_t", T.normalize_newlines("raw_text")).withColumn("_c", T.clean_text("_t"))
-    n, k = F.size(T.manifest_words("_c")).cast("bigint"), T.citation_count("_t")
-    return c.select(
-        "corpus_id", "arxiv_id", "year_group", F.size("file_paths").cast("bigint").alias("n_files"), F.length("_t").cast("bigint").alias("n_chars"), n.alias("n_words"), k.alias("n_citations"),
-        F.try_divide(k * 100.0, n).alias("cit_per_100_words"), T.alpha_ratio("_c").alias("alpha_ratio"), F.array_join("file_paths", "|").alias("file_paths"),
+    c = c.select(
+        "corpus_id", "arxiv_id", "year_group", F.size("file_paths").cast("bigint").alias("n_files"), F.length("_t").cast("bigint").alias("n_chars"), F.size(T.manifest_words("_c")).cast("bigint").alias("n_words"), T.citation_count("_t").alias("n_citations"),
+        T.alpha_ratio("_c").alias("alpha_ratio"), F.array_join("file_paths", "|").alias("file_paths"),
     )
+    return c.withColumn("cit_per_100_words", F.try_divide(F.col("n_citations") * 100.0, "n_words"))
 
 
 def quality_filter(m: DataFrame, min_words: int = 150, min_alpha: float = 0.55) -> DataFrame:
@@ -30,17 +32,22 @@ def quality_filter(m: DataFrame, min_words: int = 150, min_alpha: float = 0.55)
 
 def below_quantile(m: DataFrame, value: str = "n_words", group: str = "year_group", q: float = 0.99) -> DataFrame:
     """rows up to the upper quantile (linear interpolation) of their own group; null groups count as one."""
-    lim = m.groupBy(F.col(group).alias("_g")).agg(F.percentile(value, F.lit(q)).alias("_lim"))
-    return m.join(lim, m[group].eqNullSafe(lim["_g"])).filter(F.col(value) <= F.col("_lim")).drop("_g", "_lim")
+    m = durable(m)  # counts of a text each, read twice below
+    lim = quantiles(m, value, [group], [q]).select(group, F.col("q0").alias("_lim"))
+    return null_safe(m, lim, [group]).filter(F.col(value) <= F.col("_lim")).drop("_lim")
 
 
 def strata(m: DataFrame, n: int = 10, value: str = "n_words") -> DataFrame:
     """L1: pooled quantile bins; equal values share a bin, equal edges are one edge. The edges are a
-    handful of numbers from one aggregation and go into the plan as constants."""
-    distinct = m.agg(F.count_distinct(value)).first()[0]
-    q = min(max(1, n), max(1, distinct))
-    row = m.agg(F.min(value).alias("lo"), F.percentile(value, F.array(*[F.lit(i / q) for i in range(1, q)])).alias("e")).first() if q > 1 else None
-    edges = sorted({float(x) for x in (row.e or [])} - {float(row.lo)}) if row and row.lo is not None else []
+    handful of numbers from one histogram and go into the plan as constants."""
+    h = durable(m.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+    few = [r._x for r in h.select("_x").limit(n).collect()]
+    q = min(max(1, n), max(1, len(few)))
+    edges: list[float] = []
+    if q > 1:
+        row = quantiles(m.select(F.lit(0).alias("_g"), value), value, ["_g"], [i / q for i in range(1, q)]).first()
+        lo = h.agg(F.min("_x")).first()[0]
+        edges = sorted({float(row[f"q{i}"]) for i in range(q - 1)} - {float(lo)})
     s = sum([F.when(F.col(value) > e, 1).otherwise(0) for e in edges], F.lit(0))
     return m.withColumn("word_stratum", F.when(F.col(value).isNotNull(), s).cast("int"))
 

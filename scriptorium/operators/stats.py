@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.session import durable
+from scriptorium.operators.corpus import leading, null_safe, quantiles
+from scriptorium.session import durable, ship
 
 FIRST, SECOND = "2015", "2025"
 
@@ -112,10 +113,7 @@ def mann_whitney(long: DataFrame, first: str = FIRST, second: str = SECOND) -> D
     ranges of values and inside a range, so that no task has to hold all distinct values of a metric.
     """
     h = histogram(long, first, second)
-    # order-preserving ranges by the leading bits of the value: sign, exponent and a few mantissa digits
-    v = F.col("value")
-    lead = F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20000))
-    h = h.withColumn("_r", lead)
+    h = h.withColumn("_r", leading("value"))
     per = h.groupBy("metric", "_r").agg(F.sum("n2").alias("_s"))
     outer = Window.partitionBy("metric").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("metric", "_r", F.coalesce(F.sum("_s").over(outer), F.lit(0)).alias("_before"))
@@ -131,15 +129,22 @@ def mann_whitney(long: DataFrame, first: str = FIRST, second: str = SECOND) -> D
 
 
 def moments(long: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """Counts, means and variances of both groups per metric, in one aggregation."""
+    """Counts, means and variances of both groups per metric, in one aggregation of partial sums."""
     g, v = F.col("year_group"), F.col("value")
     a, b = F.when(g == first, v), F.when(g == second, v)
     return long.filter(g.isin(first, second)).groupBy("metric").agg(
         F.count(a).alias("m1"), F.count(b).alias("m2"), F.avg(a).alias("mean1"), F.avg(b).alias("mean2"),
-        F.var_samp(a).alias("var1"), F.var_samp(b).alias("var2"), F.median(a).alias("median1"), F.median(b).alias("median2"),
+        F.var_samp(a).alias("var1"), F.var_samp(b).alias("var2"),
     )
 
 
+def medians(long: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
+    """(metric, median1, median2), from histograms."""
+    q = quantiles(long.filter(F.col("year_group").isin(first, second)), "value", ["metric", "year_group"], [0.5])
+    pick = lambda g: F.max(F.when(F.col("year_group") == g, F.col("q0")))
+    return q.groupBy("metric").agg(pick(first).alias("median1"), pick(second).alias("median2"))
+
+
 def cohens_d(n1: Column, n2: Column, m1: Column, m2: Column, v1: Column, v2: Column) -> Column:
     """ST4: positive means the first group is higher; null where the pooled deviation is 0."""
     pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, (n1 + n2 - 2).cast("double")))
@@ -168,11 +173,14 @@ def _p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(mw_p=pd.Series(pu, dtype="float64", index=b.index), t=pd.Series(t_, dtype="float64", index=b.index), welch_p=pd.Series(pt, dtype="float64", index=b.index))
 
 
-def compare(long: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """ST5: rank test, Welch test and effect sizes of all metrics from two aggregations over the values,
-    which are written once."""
+def compare(long: DataFrame, first: str = FIRST, second: str = SECOND, with_medians: bool = True) -> DataFrame:
+    """ST5: rank test, Welch test and effect sizes of all metrics from aggregations over the values, which are
+    written once."""
+    ship(long.sparkSession)
     long = durable(long.select("year_group", "metric", "value"))
     m = mann_whitney(long, first, second).join(moments(long, first, second), "metric")
+    if with_medians:
+        m = m.join(medians(long, first, second), "metric")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     m = m.withColumn("cohens_d", cohens_d(n1, n2, F.col("mean1"), F.col("mean2"), F.col("var1"), F.col("var2"))).drop("m1", "m2")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields) + ", mw_p double, t double, welch_p double"
@@ -213,6 +221,12 @@ def chi_square(a: Column, b: Column, c: Column, d: Column, yates: bool = True) -
     return F.try_divide(n * diff * diff, (a + b) * (c + d) * (a + c) * (b + d))
 
 
+def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """ST6: infinite where b or c is 0, null where a or d is 0 as well."""
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+    return F.when(b * c > 0, F.try_divide(a * d, b * c)).when(a * d > 0, F.lit(float("inf")))
+
+
 def least_expected(a: Column, b: Column, c: Column, d: Column) -> Column:
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     n = a + b + c + d
@@ -233,24 +247,26 @@ def _table_tests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def marker_tests(markers: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """ST11: prevalence, odds ratio, test of independence, rank test of the rates, both corrections."""
+    """ST11 and L6: prevalence, odds ratio, test of independence, rank test of the rates, both corrections; by
+    falling odds ratio."""
+    ship(markers.sparkSession)
     markers = durable(markers.select("year_group", "marker", "tier", "per1k", "has"))
     t = contingency(markers, first, second)
     cols = [F.col(x) for x in "abcd"]
     a, b, c, d = (x.cast("double") for x in cols)
-    t = t.select("*", F.try_divide(a * 100.0, a + b).alias("pct1"), F.try_divide(c * 100.0, c + d).alias("pct2"), F.when(b * c > 0, F.try_divide(a * d, b * c)).alias("odds_ratio"), chi_square(*cols).alias("chi2"), least_expected(*cols).alias("expected"))
+    t = t.select("*", F.try_divide(a * 100.0, a + b).alias("pct1"), F.try_divide(c * 100.0, c + d).alias("pct2"), odds_ratio(*cols).alias("odds_ratio"), chi_square(*cols).alias("chi2"), least_expected(*cols).alias("expected"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields) + ", test string, p double"
     t = t.mapInPandas(_table_tests, schema)
-    rates = compare(markers.select("year_group", F.col("marker").alias("metric"), F.col("per1k").alias("value")).filter("value is not null"), first, second)
+    rates = compare(markers.select("year_group", F.col("marker").alias("metric"), F.col("per1k").alias("value")).filter("value is not null"), first, second, with_medians=False)
     t = t.join(rates.select(F.col("metric").alias("marker"), "mw_p"), "marker", "left")
-    return benjamini_hochberg(bonferroni(t))
+    return benjamini_hochberg(bonferroni(t)).orderBy(F.desc("odds_ratio"), "marker")
 
 
 def master_summary(long: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """ST12."""
+    """ST12 and L6: by falling size of the rank-biserial correlation."""
     c = compare(long, first, second).withColumn("p", F.col("mw_p"))
     c = c.withColumn("pct_change", F.try_divide((F.col("mean2") - F.col("mean1")) * 100.0, F.col("mean1")))
-    return benjamini_hochberg(c).select("metric", "mean1", "mean2", "median1", "median2", "pct_change", "u", "p", "rank_biserial", "cohens_d", "bh", "significant")
+    return benjamini_hochberg(c).select("metric", "mean1", "mean2", "median1", "median2", "pct_change", "u", "p", "rank_biserial", "cohens_d", "bh", "significant").orderBy(F.desc(F.abs("rank_biserial")), "metric")
 
 
 def r_interval(r: Column, n1: Column, n2: Column) -> Column:
@@ -260,8 +276,9 @@ def r_interval(r: Column, n1: Column, n2: Column) -> Column:
 
 def linear_fit(df: DataFrame, x: str, y: str, group: str = "year_group", quantile: float = 0.99) -> DataFrame:
     """ST14: least squares line per group over the rows up to the group's upper quantile of x."""
-    q = df.groupBy(group).agg(F.percentile(x, F.lit(quantile)).alias("_q"))
-    return df.join(q, group).filter(F.col(x) <= F.col("_q")).groupBy(group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))
+    df = durable(df.select(group, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    q = quantiles(df, "_x", [group], [quantile]).select(group, "q0")
+    return null_safe(df.filter(F.col(group).isNotNull()), q, [group]).filter("_x <= q0").groupBy(group).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.count(F.lit(1)).alias("n"))
 
 
 def density(df: DataFrame, value: str, group: str = "year_group", low: float = 0.0, high: float = 120.0, points: int = 121) -> DataFrame:
@@ -280,8 +297,8 @@ def density(df: DataFrame, value: str, group: str = "year_group", low: float = 0
 
 def boxes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """ST16: quartiles and whiskers within 1.5 interquartile ranges."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "q2", "q3"))])
+    df = durable(df.select(*keys, value))
+    q = quantiles(df, value, keys, [0.25, 0.5, 0.75]).select(*keys, *[F.col(f"q{i}").alias(f"q{i + 1}") for i in (2, 1, 0)])
     iqr = F.col("q3") - F.col("q1")
-    x = df.join(q, keys).filter(F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
+    x = null_safe(df, q, keys).filter(F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
     return x.groupBy(*keys, "q1", "q2", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -21,28 +21,31 @@ def features(p: DataFrame) -> DataFrame:
     arrays; the lexical ones come from one pass over the words. The papers are cut from their lineage
     first, as both branches read them."""
     p = durable(p.select(*K.KEYS, "text", "text_clean", "n_files"))
-    return K.row_features(p).join(K.word_features(p), K.KEYS, "left")
+    return K.null_safe(K.row_features(p), K.word_features(p).drop("n"), K.PAPER, "left")
 
 
 def marker_table(p: DataFrame) -> DataFrame:
     """D13 in long form."""
-    return MK.marker_rows(p.withColumn("n_words", F.size(K.T.words("text_clean"))), K.KEYS)
+    return MK.marker_rows(p.withColumn("n_words", F.size(K.T.words("text_clean"))), K.PAPER)
 
 
 def marker_score(p: DataFrame) -> DataFrame:
-    """Sum of the high-confidence rates of a paper; computed inside the row."""
-    n = F.size(K.T.words("text_clean"))
-    high = F.filter(MK.marker_counts("text_clean"), lambda m: m["tier"] == MK.HIGH)
-    total = F.aggregate(high, F.lit(0).cast("bigint"), lambda a, m: a + m["cnt"])
-    return p.select(*K.KEYS, F.try_divide(total * 1000.0, n).alias("llm_marker_score"))
+    """Sum of the high-confidence rates of a paper."""
+    high = [i for i, (_, tier, _) in enumerate(MK.MARKERS) if tier == MK.HIGH]
+    one = p.select(*K.PAPER, F.size(K.T.words("text_clean")).alias("_n"), MK.phrases().alias("_h"))
+    one = one.select(*K.PAPER, "_n", *[MK.marker_columns("_h")[i] for i in high])
+    total = sum((F.col(f"_m{i}") for i in high), F.lit(0))
+    g = one.select(*K.PAPER, "_n", total.alias("_c")).groupBy(*K.PAPER).agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"))
+    return g.select(*K.PAPER, F.try_divide(F.col("_c") * 1000.0, "_n").alias("llm_marker_score"))
 
 
 def prevalence(markers: DataFrame) -> DataFrame:
-    """A4: share of papers per cohort with a marker, and its ratio; a share of 0 counts as 0.01."""
+    """Share of papers per cohort with a marker, and its ratio, where a share of 0 in the first cohort
+    counts as 0.01; by rising ratio."""
     m = markers.groupBy("marker", "tier").pivot("year_group", [S.FIRST, S.SECOND]).agg(F.avg("has") * 100.0)
     a, b = F.coalesce(F.col(f"`{S.FIRST}`"), F.lit(0.0)), F.coalesce(F.col(f"`{S.SECOND}`"), F.lit(0.0))
-    z = lambda x: F.when(x == 0, 0.01).otherwise(x)
-    return m.select("marker", "tier", a.alias("pct_2015"), b.alias("pct_2025"), (z(b) / z(a)).alias("ratio"))
+    out = m.select("marker", "tier", a.alias("pct_2015"), b.alias("pct_2025"), (b / F.when(a == 0, 0.01).otherwise(a)).alias("ratio"))
+    return out.orderBy("ratio", "marker")
 
 
 def top_markers(markers: DataFrame, group: str = S.SECOND, n: int = 10) -> DataFrame:
@@ -52,9 +55,9 @@ def top_markers(markers: DataFrame, group: str = S.SECOND, n: int = 10) -> DataF
 
 def citation_patterns(p: DataFrame) -> DataFrame:
     """Count of each pattern per paper."""
-    x = p.select(*K.KEYS, C.pieces("text").alias("_p")).select(*K.KEYS, F.explode(C.contexts(F.col("_p"))).alias("_c"))
-    x = x.select(*K.KEYS, C.pattern(F.col("_c")).alias("pattern"))
-    return x.groupBy(*K.KEYS, "pattern").agg(F.count(F.lit(1)).alias("n"))
+    x = p.select(*K.PAPER, C.pieces("text").alias("_p")).select(*K.PAPER, F.explode(C.contexts(F.col("_p"))).alias("_c"))
+    x = x.select(*K.PAPER, C.pattern(F.col("_c")).alias("pattern"))
+    return x.groupBy(*K.PAPER, "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pattern_shares(patterns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any
 
@@ -12,7 +13,9 @@ from scriptorium.functions import markup as M
 from scriptorium.operators import parse as P
 from scriptorium.operators import records as R
 from scriptorium.schemas import PAPER_RECORD
+from scriptorium.session import durable
 from scriptorium.sources import files as FS
+from scriptorium.sources import metadata as MD
 from scriptorium.sources import sinks
 
 
@@ -29,6 +32,7 @@ class Config:
     text_export: str | None = None
     related_only: bool = False
     compression: str = "snappy"
+    max_model_calls: int = 10_000
     extra: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
@@ -45,8 +49,9 @@ class Config:
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, config: Config):
-        self.spark, self.c = spark, config
+    def __init__(self, spark: SparkSession, config: Config, client: Callable[[], Callable[[str], str]] | None = None):
+        """client: builds, in each worker, what answers a prompt."""
+        self.spark, self.c, self.client = spark, config, client
 
     def select(self, meta: DataFrame, availability: DataFrame | None = None) -> DataFrame:
         """Resume, category, date, availability and cap: cheap filters first, all of them joins or predicates."""
@@ -62,8 +67,9 @@ class Pipeline:
         return s.select("arxiv_id", F.col("order").alias("section_order"), F.col("order").cast("bigint").alias("section_id"), "heading", M.clean_latex("content").alias("content")).filter("content <> ''")
 
     def records(self, meta: DataFrame, sections: DataFrame) -> DataFrame:
-        """Classify, merge and flatten to the output schema."""
-        merged = R.merge_sections(R.classify_sections(sections))
+        """Classify, merge and flatten to the output schema; with a model client, it decides what the rules leave."""
+        named = R.model_sections(sections, self.client, self.c.max_model_calls) if self.client else sections
+        merged = R.merge_sections(R.classify_sections(named))
         counts = sections.groupBy("arxiv_id").agg(F.count(F.lit(1)).alias("raw_section_count"))
         return R.build_records(meta, merged, counts).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PAPER_RECORD.fields])
 
@@ -72,12 +78,11 @@ class Pipeline:
         todo = self.select(meta, availability)
         sections = self.extract(sources.join(todo.select("arxiv_id"), "arxiv_id", "left_semi"))
         new = self.records(todo, sections)
-        staged = self.c.output.rstrip("/") + ".new"
-        sinks.write_records(new, staged, self.c.compression)
-        new = self.spark.read.schema(PAPER_RECORD).parquet(staged)
-        merged = self.c.output.rstrip("/") + ".merged"
-        sinks.write_records(R.merge_records(FS.existing_records(self.spark, self.c.output), new), merged, self.c.compression)
-        sinks.write_records(self.spark.read.schema(PAPER_RECORD).parquet(merged), self.c.output, self.c.compression)
+        # the merged output is a new version beside the old one; readers take the newest complete version, so a
+        # crash at any point leaves the last one as it was
+        version = MD.next_version(self.spark, self.c.output)
+        new = durable(new)
+        sinks.write_records(R.merge_records(FS.existing_records(self.spark, self.c.output), new), version, self.c.compression)
         sinks.write_progress(new.filter("part_no = 0").select("arxiv_id", F.when(F.col("raw_section_count") > 0, "completed").otherwise("failed_parse").alias("status")), self.c.progress)
         if self.c.text_export:
             sinks.export_text(sinks.section_table(R.merge_sections(R.classify_sections(sections)).withColumnRenamed("first_order", "section_order"), self.c.related_only), self.c.text_export)

@@ -58,11 +58,28 @@ STRUCT = PAPERS + (
 )
 WORDROWS = PAPERS + f", wl AS (SELECT arxiv_id, year_group, part_no, {WORDS.format('text_clean')} AS ws FROM papers), wr AS (SELECT arxiv_id, year_group, part_no, lower(unnest(ws)) AS w, generate_subscripts(ws, 1) AS j FROM wl)"
 SENTROWS = PAPERS + f", sl AS (SELECT arxiv_id, year_group, part_no, {SENTS.format('text_clean')} AS ss FROM papers), sr AS (SELECT arxiv_id, year_group, part_no, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM sl)"
-KEYS = "arxiv_id, year_group, part_no"
+KEYS = "arxiv_id, year_group"
 METRICS = ["n_words", "n_citations", "n_paragraphs", "n_sentences"]
 LONG = STRUCT + ", long AS (" + " UNION ALL ".join(f"SELECT {KEYS}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM st" for m in METRICS) + ")"
 
 
+# tail probabilities in SQL by Simpson's rule over 4,000 steps: of the normal and of Student's t distribution
+_SIMPSON = "list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * ({w}) / 4000.0 / 3.0"
+
+
+def _normal_tail(z: str) -> str:
+    """Two-sided tail beyond z >= 0."""
+    f = f"exp(-0.5 * power({z} + i * 12.0 / 4000.0, 2))"
+    return "least(1.0, 2 * 0.3989422804014327 * " + _SIMPSON.format(f=f, w="12.0") + ")"
+
+
+def _student_tail(t: str, df: str) -> str:
+    """Two-sided tail beyond |t|, with x = |t| + u / (1 - u) for u from 0 to 1."""
+    x = f"(abs({t}) + (i / 4000.0) / (1.0 - i / 4000.0))"
+    f = f"(CASE WHEN i = 4000 THEN 0.0 ELSE exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) - ({df} + 1) / 2 * ln(1 + {x} * {x} / {df})) / power(1.0 - i / 4000.0, 2) END)"
+    return "least(1.0, 2 * " + _SIMPSON.format(f=f, w="1.0") + ")"
+
+
 def files(s: SparkSession, d: str) -> DataFrame:
     return K.corpus_files(table(s, d, "documents"))
 
@@ -72,7 +89,7 @@ def papers(s: SparkSession, d: str) -> DataFrame:
 
 
 def long(s: SparkSession, d: str) -> DataFrame:
-    return K.unpivot(K.structure(papers(s, d)), METRICS, K.KEYS)
+    return K.unpivot(K.structure(papers(s, d)), METRICS, K.PAPER)
 
 
 def q(name: str, body: str, prefix: str = "") -> Callable:
@@ -227,14 +244,14 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.whitespace_words("text").alias("n"))
 
 
-@q("P8_sentences", f"SELECT {KEYS}, pos, sentence, len({WORDS.format('sentence')}) AS n_words FROM sr", SENTROWS)
+@q("P8_sentences", f"SELECT {KEYS}, part_no, pos, sentence, len({WORDS.format('sentence')}) AS n_words FROM sr", SENTROWS)
 def _(s, d):
     return K.sentence_rows(papers(s, d)).drop("passive")
 
 
 @q("P9_words", f"SELECT {KEYS}, w, count(*) AS c FROM wr GROUP BY {KEYS}, w", WORDROWS)
 def _(s, d):
-    return K.word_rows(papers(s, d)).groupBy(*K.KEYS, "w").agg(F.count(F.lit(1)).alias("c"))
+    return K.word_rows(papers(s, d), K.PAPER).groupBy(*K.PAPER, "w").agg(F.count(F.lit(1)).alias("c"))
 
 
 @q("P10_manifest_words", f"SELECT doc_id, len(regexp_extract_all({CLEAN.format('text')}, '[A-Za-z][A-Za-z0-9''-]*')) AS n FROM documents")
@@ -249,7 +266,7 @@ READ = WORDROWS + (
 
 @q(
     "X3_X6_X7_readability",
-    f"SELECT arxiv_id, year_group, part_no, n_sentences, coalesce(n_words, 0) AS n_words, coalesce(n_syllables, 0) AS n_syllables, coalesce(n_complex, 0) AS n_complex, round(206.835 - 1.015 * n_words / nullif(n_sentences, 0) - 84.6 * n_syllables / nullif(n_words, 0), 6) AS flesch, round(0.4 * (n_words / nullif(n_sentences, 0) + 100.0 * n_complex / nullif(n_words, 0)), 6) AS fog FROM ns LEFT JOIN c USING ({KEYS})",
+    f"SELECT arxiv_id, year_group, n_sentences, coalesce(n_words, 0) AS n_words, coalesce(n_syllables, 0) AS n_syllables, coalesce(n_complex, 0) AS n_complex, round(206.835 - 1.015 * n_words / nullif(n_sentences, 0) - 84.6 * n_syllables / nullif(n_words, 0), 6) AS flesch, round(0.4 * (n_words / nullif(n_sentences, 0) + 100.0 * n_complex / nullif(n_words, 0)), 6) AS fog FROM ns LEFT JOIN c USING ({KEYS})",
     READ,
 )
 def _(s, d):
@@ -278,9 +295,12 @@ def _(s, d):
     return rounded(K.sentence_features(papers(s, d)).drop("passive_ratio"))
 
 
-@query("X8_X9_passive")
+PASSIVE = "(?i)(?:^|[^\\p{L}])(?:" + "|".join(T.BE) + ")(?:\\s+[^\\s]+){0,2}?\\s+(?:\\p{L}{2,}ed|" + "|".join(T.PARTICIPLES) + ")(?:$|[^\\p{L}])"
+
+
+@q("X8_X9_passive", f"SELECT {KEYS}, round(avg(CASE WHEN regexp_matches(sentence, '{PASSIVE}') THEN 1.0 ELSE 0.0 END), 6) AS passive_ratio FROM sr GROUP BY {KEYS}", SENTROWS)
 def _(s, d):
-    return K.sentence_features(papers(s, d)).select(*K.KEYS, "passive_ratio")
+    return rounded(K.sentence_features(papers(s, d)).select(*K.PAPER, "passive_ratio"))
 
 
 @q("X17_alpha_ratio", r"SELECT corpus_id, round(CASE WHEN length(regexp_replace(t, '\s+', '', 'g')) = 0 THEN 0 ELSE length(regexp_replace(t, '[^\p{L}]', '', 'g')) / length(regexp_replace(t, '\s+', '', 'g')) END, 6) AS alpha_ratio FROM (SELECT corpus_id, " + CLEAN.format("raw_text") + " AS t FROM corpus_records)")
@@ -290,19 +310,28 @@ def _(s, d):
 
 @q(
     "D12_features",
-    f"""SELECT ns.arxiv_id, ns.year_group, ns.part_no, n_citations, n_paragraphs, st.n_words, st.n_sentences, round(ttr, 6) AS ttr, round(hapax_ratio, 6) AS hapax_ratio, round(mean_sentence_length, 6) AS mean_sentence_length, median_sentence_length
+    f"""SELECT ns.arxiv_id, ns.year_group, n_citations, n_paragraphs, st.n_words, st.n_sentences, round(ttr, 6) AS ttr, round(hapax_ratio, 6) AS hapax_ratio, round(mean_sentence_length, 6) AS mean_sentence_length, median_sentence_length
         FROM st JOIN (SELECT {KEYS}, count(*) / sum(c) AS ttr, count(*) FILTER (c = 1) / sum(c) AS hapax_ratio FROM k GROUP BY {KEYS}) lx USING ({KEYS})
         JOIN (SELECT {KEYS}, avg(n) AS mean_sentence_length, median(n) AS median_sentence_length FROM (SELECT {KEYS}, len({WORDS.format('sentence')}) AS n FROM sr) GROUP BY {KEYS}) ns USING ({KEYS})""",
     LEX + STRUCT[len(PAPERS) :] + SENTROWS[len(PAPERS) :],
 )
 def _(s, d):
     f = rounded(A.features(papers(s, d)))
-    return f.select(*K.KEYS, "n_citations", "n_paragraphs", "n_words", "n_sentences", "ttr", "hapax_ratio", "mean_sentence_length", "median_sentence_length")
+    return f.select(*K.PAPER, "n_citations", "n_paragraphs", "n_words", "n_sentences", "ttr", "hapax_ratio", "mean_sentence_length", "median_sentence_length")
 
 
-@query("SK8_metric_export")
+@q(
+    "SK8_metric_export",
+    f"""SELECT st.arxiv_id, st.year_group, p.n_files, st.n_words, st.n_sentences, rd.n_syllables, round(sl2.mean_sentence_length, 6) AS mean_sentence_length, sl2.median_sentence_length, round(lx.ttr, 6) AS ttr, round(mt.mattr, 6) AS mattr, round(lx.hapax_ratio, 6) AS hapax_ratio,
+        round(206.835 - 1.015 * st.n_words / nullif(st.n_sentences, 0) - 84.6 * rd.n_syllables / nullif(st.n_words, 0), 6) AS flesch, round(0.4 * (st.n_words / nullif(st.n_sentences, 0) + 100.0 * rd.n_complex / nullif(st.n_words, 0)), 6) AS fog, round(sl2.passive_ratio, 6) AS passive_ratio,
+        st.n_citations, st.n_paragraphs, round(st.n_citations / nullif(st.n_sentences, 0), 6) AS cit_per_sentence, round(st.n_citations * 100.0 / nullif(st.n_words, 0), 6) AS cit_per_100_words
+        FROM st JOIN papers p USING ({KEYS}) JOIN c rd USING ({KEYS}) JOIN (SELECT {KEYS}, count(*) / sum(c) AS ttr, count(*) FILTER (c = 1) / sum(c) AS hapax_ratio FROM k GROUP BY {KEYS}) lx USING ({KEYS})
+        JOIN (SELECT {KEYS}, avg(n) AS mean_sentence_length, median(n) AS median_sentence_length, avg(pv) AS passive_ratio FROM (SELECT {KEYS}, len({WORDS.format('sentence')}) AS n, CASE WHEN regexp_matches(sentence, '{PASSIVE}') THEN 1.0 ELSE 0.0 END AS pv FROM sr) GROUP BY {KEYS}) sl2 USING ({KEYS})
+        JOIN (SELECT {KEYS}, CASE WHEN max(n) < 50 THEN count(*) FILTER (prev = 0) / max(n) ELSE sum(greatest(0, least(j, n - 49) - greatest(0, j - 50, prev))) / (50.0 * (max(n) - 49)) END AS mattr FROM pr GROUP BY {KEYS}) mt USING ({KEYS})""",
+    LEX + READ[len(WORDROWS) :] + STRUCT[len(PAPERS) :] + SENTROWS[len(PAPERS) :] + f", nn AS (SELECT {KEYS}, count(*) AS n FROM wr GROUP BY {KEYS}), pr AS (SELECT {KEYS}, w, j, n, coalesce(lag(j) OVER (PARTITION BY {KEYS}, w ORDER BY j), 0) AS prev FROM wr JOIN nn USING ({KEYS}))",
+)
 def _(s, d):
-    return sinks.metric_export(A.features(papers(s, d)))
+    return rounded(sinks.metric_export(A.features(papers(s, d))))
 
 
 # ------------------------------------------------------------------------------------ markers, citations
@@ -323,7 +352,7 @@ def _(s, d):
 
 @q(
     "A4_prevalence",
-    "SELECT marker, tier, round(a, 6) AS pct_2015, round(b, 6) AS pct_2025, round((CASE WHEN b = 0 THEN 0.01 ELSE b END) / (CASE WHEN a = 0 THEN 0.01 ELSE a END), 6) AS ratio FROM (SELECT marker, tier, coalesce(avg(has) FILTER (year_group = '2015'), 0) * 100.0 AS a, coalesce(avg(has) FILTER (year_group = '2025'), 0) * 100.0 AS b FROM mr GROUP BY marker, tier)",
+    "SELECT marker, tier, round(a, 6) AS pct_2015, round(b, 6) AS pct_2025, round(b / (CASE WHEN a = 0 THEN 0.01 ELSE a END), 6) AS ratio FROM (SELECT marker, tier, coalesce(avg(has) FILTER (year_group = '2015'), 0) * 100.0 AS a, coalesce(avg(has) FILTER (year_group = '2025'), 0) * 100.0 AS b FROM mr GROUP BY marker, tier)",
     MARKS,
 )
 def _(s, d):
@@ -345,16 +374,41 @@ def _(s, d):
 
 @q(
     "ST6_chi_square",
-    "SELECT marker, round(CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) = 0 THEN NULL ELSE n * power(greatest(abs(a*d - b*c) - n / 2.0, 0), 2) / ((a+b)*(c+d)*(a+c)*(b+d)) END, 6) AS chi2, round(CASE WHEN b * c > 0 THEN a * d / (b * c) END, 6) AS odds_ratio FROM (SELECT marker, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d, CAST(a+b+c+d AS DOUBLE) n FROM ct)",
+    "SELECT marker, round(CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) = 0 THEN NULL ELSE n * power(greatest(abs(a*d - b*c) - n / 2.0, 0), 2) / ((a+b)*(c+d)*(a+c)*(b+d)) END, 6) AS chi2, CASE WHEN b * c > 0 THEN round(a * d / (b * c), 6) WHEN a * d > 0 THEN CAST('inf' AS DOUBLE) END AS odds_ratio FROM (SELECT marker, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d, CAST(a+b+c+d AS DOUBLE) n FROM ct)",
     CONT,
 )
 def _(s, d):
     t = S.contingency(A.marker_table(papers(s, d)))
-    a, b, c, e = (F.col(x).cast("double") for x in "abcd")
-    return rounded(t.select("marker", S.chi_square(*[F.col(x) for x in "abcd"]).alias("chi2"), F.when(b * c > 0, F.try_divide(a * e, b * c)).alias("odds_ratio")))
+    cols = [F.col(x) for x in "abcd"]
+    return rounded(t.select("marker", S.chi_square(*cols).alias("chi2"), S.odds_ratio(*cols).alias("odds_ratio")))
+
+
+def _mw_p(u: str, n1: str, n2: str, ties: str) -> str:
+    """Asymptotic p of the rank test, with tie and continuity correction."""
+    n = f"({n1} + {n2})"
+    var = f"({n1} * {n2} / 12.0 * (({n} + 1) - {ties} / ({n} * ({n} - 1.0))))"
+    return f"CASE WHEN {var} <= 0 THEN 1.0 ELSE {_normal_tail(f'(greatest(0.0, abs({u} - {n1} * {n2} / 2.0) - 0.5) / sqrt({var}))')} END"
+
+
+_LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_LOGP = _LC.format("r1", "k") + " + " + _LC.format("r2", "(c1 - k)") + " - " + _LC.format("(r1 + r2)", "c1")
+_FISHER = f"CASE WHEN r1 = 0 OR r2 = 0 OR c1 = 0 OR b + d = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(list_filter(range(CAST(greatest(0, c1 - r2) AS BIGINT), CAST(least(r1, c1) AS BIGINT) + 1), lambda k: {_LOGP} <= {_LOGP.replace('k', 'a')} + 1e-7), lambda k: exp({_LOGP})))) END".replace("lambda a", "lambda k")
+_TESTS = CONT + (
+    ", tt AS (SELECT marker, tier, a, b, c, d, CAST(a + b AS DOUBLE) AS r1, CAST(c + d AS DOUBLE) AS r2, CAST(a + c AS DOUBLE) AS c1, CAST(a + b + c + d AS DOUBLE) AS n FROM ct)"
+    ", te AS (SELECT *, CASE WHEN r1 * r2 * c1 * (b + d) = 0 THEN NULL ELSE n * power(greatest(abs(CAST(a AS DOUBLE) * d - CAST(b AS DOUBLE) * c) - n / 2.0, 0), 2) / (r1 * r2 * c1 * (b + d)) END AS chi2, least(least(r1 * c1, r1 * (b + d)), least(r2 * c1, r2 * (b + d))) / n AS expected FROM tt)"
+    f", tp AS (SELECT *, CASE WHEN expected >= 5 THEN 'chi2' ELSE 'fisher' END AS test, CASE WHEN expected >= 5 THEN {_normal_tail('sqrt(chi2)')} ELSE {_FISHER} END AS p FROM te)"
+    ", rh AS (SELECT marker, per1k AS value, count(*) FILTER (year_group = '2015') AS n1, count(*) FILTER (year_group = '2025') AS n2 FROM mr WHERE year_group IN ('2015', '2025') AND per1k IS NOT NULL GROUP BY marker, per1k), rc AS (SELECT *, coalesce(sum(n2) OVER (PARTITION BY marker ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c2 FROM rh)"
+    ", ru AS (SELECT marker, CAST(sum(n1) AS DOUBLE) AS m1, CAST(sum(n2) AS DOUBLE) AS m2, CAST(sum(n1 * (c2 + n2 / 2.0)) AS DOUBLE) AS u, CAST(sum(CAST(n1 + n2 AS DOUBLE) * (n1 + n2) * (n1 + n2) - (n1 + n2)) AS DOUBLE) AS ties FROM rc GROUP BY marker)"
+    f", rp AS (SELECT marker, {_mw_p('u', 'm1', 'm2', 'ties')} AS mw_p FROM ru)"
+    ", tq AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, marker) AS q, row_number() OVER (ORDER BY p, marker) AS rk, count(*) OVER () AS k FROM tp), tb AS (SELECT *, least(1.0, min(q) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS bh FROM tq)"
+)
 
 
-@query("ST7_ST11_marker_tests")
+@q(
+    "ST7_ST11_marker_tests",
+    "SELECT marker, tier, a, b, c, d, round(a * 100.0 / r1, 6) AS pct1, round(c * 100.0 / r2, 6) AS pct2, CASE WHEN CAST(b AS DOUBLE) * c > 0 THEN round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) WHEN CAST(a AS DOUBLE) * d > 0 THEN CAST('inf' AS DOUBLE) END AS odds_ratio, round(chi2, 6) AS chi2, round(expected, 6) AS expected, test, round(p, 6) AS p, round(mw_p, 6) AS mw_p, round(least(1.0, p * k), 6) AS bonferroni, round(bh, 6) AS bh, bh < 0.05 AS significant FROM tb LEFT JOIN rp USING (marker)",
+    _TESTS,
+)
 def _(s, d):
     return rounded(S.marker_tests(A.marker_table(papers(s, d))))
 
@@ -396,8 +450,8 @@ def _(s, d):
 
 @q("A13_describe", "SELECT year_group, metric, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY year_group, metric", LONG)
 def _(s, d):
-    g = long(s, d).groupBy("year_group", "metric").agg(F.count("value").alias("n"), F.percentile("value", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("p"))
-    return rounded(g.select("year_group", "metric", "n", *[F.col("p")[i].alias(f"q{i + 1}") for i in range(3)]))
+    g = K.quantiles(long(s, d), "value", ["year_group", "metric"], [0.25, 0.5, 0.75])
+    return rounded(g.select("year_group", "metric", "n", *[F.col(f"q{i}").alias(f"q{i + 1}") for i in range(3)]))
 
 
 @q("A17_sentence_lengths", f"SELECT year_group, len({WORDS.format('sentence')}) AS n_words, count(*) AS n FROM sr GROUP BY 1, 2", SENTROWS)
@@ -421,12 +475,23 @@ def _(s, d):
     return rounded(S.compare(long(s, d)).select("metric", "t", "cohens_d"))
 
 
-@query("ST5_tests")
+_T = "((mean1 - mean2) / sqrt(var1 / n1 + var2 / n2))"
+_DF = "(power(var1 / n1 + var2 / n2, 2) / (power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1)))"
+_D = "((mean1 - mean2) / nullif(sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)), 0))"
+BOTH = HIST + MOM[len(LONG) :] + ", me AS (SELECT metric, median(value) FILTER (year_group = '2015') AS median1, median(value) FILTER (year_group = '2025') AS median2 FROM long GROUP BY metric)"
+BOTH += f", al AS (SELECT mw.metric, mw.n1, mw.n2, u, ties, 1 - 2 * u / (CAST(mw.n1 AS DOUBLE) * mw.n2) AS rank_biserial, mean1, mean2, var1, var2, median1, median2, {_mw_p('u', 'CAST(mw.n1 AS DOUBLE)', 'CAST(mw.n2 AS DOUBLE)', 'ties')} AS mw_p FROM mw JOIN mo USING (metric) JOIN me USING (metric))"
+
+
+@q("ST5_tests", f"SELECT metric, n1, n2, u, ties, round(rank_biserial, 6) AS rank_biserial, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(var1, 6) AS var1, round(var2, 6) AS var2, median1, median2, round({_D}, 6) AS cohens_d, round(mw_p, 6) AS mw_p, round({_T}, 6) AS t, round({_student_tail(_T, _DF)}, 6) AS welch_p FROM al", BOTH)
 def _(s, d):
     return rounded(S.compare(long(s, d)))
 
 
-@query("ST12_master_summary")
+@q(
+    "ST12_master_summary",
+    f"SELECT metric, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, median1, median2, round((mean2 - mean1) * 100.0 / nullif(mean1, 0), 6) AS pct_change, u, round(mw_p, 6) AS p, round(rank_biserial, 6) AS rank_biserial, round({_D}, 6) AS cohens_d, round(least(1.0, min(q) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh, least(1.0, min(q) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) < 0.05 AS significant FROM (SELECT *, mw_p * count(*) OVER () / row_number() OVER (ORDER BY mw_p, metric) AS q, row_number() OVER (ORDER BY mw_p, metric) AS rk FROM al)",
+    BOTH,
+)
 def _(s, d):
     return rounded(S.master_summary(long(s, d)))
 
@@ -454,7 +519,11 @@ def _(s, d):
     return rounded(S.linear_fit(K.structure(papers(s, d)), "n_words", "n_citations"))
 
 
-@query("ST15_density")
+@q(
+    "ST15_density",
+    "SELECT year_group, x, round(sum(c * exp(-0.5 * power((x - v) / bw, 2))) / (max(n) * max(bw) * sqrt(2 * pi())), 6) AS density FROM (SELECT c.year_group, v, c, n, sd * power(n, -0.2) AS bw FROM c JOIN (SELECT year_group, CAST(sum(c) AS DOUBLE) AS n, sqrt((sum(c * v * v) - sum(c * v) * sum(c * v) / sum(c)) / (sum(c) - 1)) AS sd FROM c GROUP BY year_group) st ON c.year_group IS NOT DISTINCT FROM st.year_group) k, (SELECT CAST(unnest(range(0, 121)) AS DOUBLE) AS x) g WHERE bw > 0 GROUP BY year_group, x",
+    SENTROWS + f", c AS (SELECT year_group, v, CAST(count(*) AS DOUBLE) AS c FROM (SELECT year_group, CAST(len({WORDS.format('sentence')}) AS DOUBLE) AS v FROM sr) WHERE v BETWEEN 0 AND 120 GROUP BY year_group, v)",
+)
 def _(s, d):
     return rounded(S.density(K.sentence_rows(papers(s, d)), "n_words"))
 
@@ -488,8 +557,7 @@ QUAL = MAN + ", f8 AS (SELECT * FROM mn WHERE n_words >= 150 AND alpha_ratio >=
 
 
 def _kept(s, d):
-    # several aggregations read the filtered manifest: it is written once
-    return durable(SA.below_quantile(SA.quality_filter(manifest(s, d))))
+    return SA.below_quantile(SA.quality_filter(manifest(s, d)))
 
 
 @q("F8_F9_J7_quality", "SELECT corpus_id, year_group, n_words FROM f9", QUAL)
@@ -506,7 +574,15 @@ def _(s, d):
     return SA.strata(_kept(s, d)).select("corpus_id", "word_stratum")
 
 
-@query("A12_strata_counts")
+STRATA = QUAL + ", ed AS (SELECT list_distinct(quantile_cont(n_words, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges, min(n_words) AS lo FROM f9), sx AS (SELECT f9.*, CAST(len(list_filter(edges, lambda e: e < n_words AND e > lo)) AS INTEGER) AS word_stratum FROM f9, ed)"
+
+
+@q("L2_sample_sizes", "SELECT s.word_stratum, g.year_group, least(n15, n25) AS n FROM (SELECT word_stratum, count(*) FILTER (year_group = '2015') AS n15, count(*) FILTER (year_group = '2025') AS n25 FROM sx GROUP BY word_stratum) s, (SELECT unnest(['2015', '2025']) AS year_group) g WHERE least(n15, n25) > 0", STRATA)
+def _(s, d):
+    return SA.balanced_sample(SA.strata(_kept(s, d))).groupBy("word_stratum", "year_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("A12_strata_counts", 'SELECT word_stratum, count(*) FILTER (year_group = \'2015\') AS "2015", count(*) FILTER (year_group = \'2025\') AS "2025" FROM sx GROUP BY word_stratum', STRATA)
 def _(s, d):
     return SA.strata(_kept(s, d)).groupBy("word_stratum").pivot("year_group", ["2015", "2025"]).count().na.fill(0)
 
@@ -563,7 +639,17 @@ def _(s, d):
     return m
 
 
-@query("PJ1_records")
+RECORDS = HEADS + (
+    ", md AS (SELECT DISTINCT ON (arxiv_id) * FROM paper_metadata ORDER BY arxiv_id, ingested_at DESC, meta_id DESC), mg AS (SELECT arxiv_id, section_type, string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY section_order, section_id) AS content, min(section_order) AS first_order FROM cl GROUP BY arxiv_id, section_type)"
+    ", fo AS (SELECT arxiv_id, bool_or(section_type = 'related_work' AND content <> '') AS ok, string_agg(section_type, ', ' ORDER BY first_order, section_type) AS found, max(content) FILTER (section_type = 'related_work') AS rw FROM mg GROUP BY arxiv_id), rc AS (SELECT arxiv_id, count(*) AS k FROM raw_sections GROUP BY arxiv_id)"
+)
+
+
+@q(
+    "PJ1_records",
+    "SELECT md.arxiv_id, title, coalesce(array_to_string(authors, '; '), CASE WHEN authors IS NULL THEN NULL ELSE '' END) AS authors, coalesce(array_to_string(categories, ', '), CASE WHEN categories IS NULL THEN NULL ELSE '' END) AS categories, primary_category, published, updated, abstract, coalesce(rw, '') AS related_work, 'latex_parsed' AS extraction_method, coalesce(ok, false) AS extraction_success, coalesce(found, '') AS sections_found, CAST(coalesce(k, 0) AS INTEGER) AS raw_section_count, CAST(0 AS BIGINT) AS part_no FROM md LEFT JOIN fo ON md.arxiv_id = fo.arxiv_id LEFT JOIN rc ON md.arxiv_id = rc.arxiv_id",
+    RECORDS,
+)
 def _(s, d):
     sec = table(s, d, "raw_sections")
     merged = R.merge_sections(R.classify_sections(sec))
@@ -600,7 +686,27 @@ def _(s, d):
     return spread(table(s, d, "raw_sections")).select("section_id", M.clean_latex("content").alias("content"))
 
 
-@query("C2_C21_clean_chain")
+def _chain_sql(text: str) -> str:
+    """The steps of the chain for an engine without Unicode classes in \\s and without back references."""
+    ws = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+    env = lambda names, star: rf"(?s)\\begin\{{(?:{names}){star}\}}.*?\\end\{{(?:{names}){star}\}}"
+    steps = [
+        (env("figure|table", r"\*?"), ""), (env("tabular|tabularx|longtable", ""), ""), (env("equation|align|gather|multline|eqnarray|math|displaymath", r"\*?"), ""),
+        (r"(?s)\\\[.*?\\\]", ""), (r"(?s)\$\$.*?\$\$", ""), (r"(?s)\\\(.*?\\\)", ""), (r"\$[^$]+\$", ""),
+        (r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", ""), (r"\\(?:ref|label|eqref|autoref|pageref|nameref)\{[^}]*\}", ""), (r"\\caption\*?(?:\[[^\]]*\])?\{[^}]*\}", ""),
+        (r"\\footnote\{([^}]*)\}", r"\1"), (r"\\href\{[^}]*\}\{([^}]*)\}", r"\1"), (r"\\url\{[^}]*\}", ""), (r"\\(?:textbf|textit|emph|textsc|textrm|texttt|textsf|textsl|underline|mbox)\{([^}]*)\}", r"\1"),
+        (r"\\begin\{[^}]*\}", ""), (r"\\end\{[^}]*\}", ""), (rf"\\item{ws}*(?:\[[^\]]*\])?", ""), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])*(?:\{[^}]*\})*", ""),
+        (r"\\([%&#_$])", r"\1"), ("~", " "), ("---", "\u2014"), ("--", "\u2013"), (r"[{}]", ""), (r"\\", ""),
+        (rf"(^|[^\p{{L}}\p{{N}}_])et{ws}+al($|[^\p{{L}}\p{{N}}_])", "\\1\x01\\2"), ("\x01\\.?", ""),
+        (r"\[WS*[\d,;WS_]+WS*\]".replace("WS_", ws[1:-1]).replace("WS", ws), ""), (rf"\({ws}*\d{{4}}{ws}*\)", ""),
+        (r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (rf"{ws}+([.,;:!?])", r"\1"), (rf"\.(?:{ws}*\.)+", "."), (rf",(?:{ws}*,)+", ","), (rf";(?:{ws}*;)+", ";"), (rf"^{ws}+|{ws}+$", ""),
+    ]
+    for rx, to in steps:
+        text = f"regexp_replace({text}, '{rx}', '{to}', 'g')"
+    return text
+
+
+@q("C2_C21_clean_chain", f"SELECT section_id, {_chain_sql('content')} AS content FROM raw_sections")
 def _(s, d):
     return spread(table(s, d, "raw_sections")).select("section_id", M.clean_chain("content").alias("content"))
 
@@ -615,7 +721,11 @@ def _(s, d):
     return table(s, d, "raw_sections").select("section_id", H.safe_filename(F.coalesce("heading", F.lit(""))).alias("f"))
 
 
-@query("P1_P3_assemble")
+_HALF = "CAST(floor(length(text) / 2) AS BIGINT)"
+_BODY = "'\\documentclass{article}' || chr(10) || '\\section{One}' || chr(10) || substring(text, 1, h) || chr(10) || '\\section{Two}' || chr(10) || substring(text, h + 1) || chr(10)"
+
+
+@q("P1_P3_assemble", rf"SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, regexp_replace(regexp_replace(replace({_BODY}, '\%', chr(1)), '(?m)%[^\n]*$', '', 'g'), chr(1), '\\%', 'g') AS text FROM (SELECT doc_id, text, {_HALF} AS h FROM documents WHERE text IS NOT NULL)")
 def _(s, d):
     # three files a paper: a root that includes the two halves of the text
     t = table(s, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("arxiv_id"), "text")
@@ -632,29 +742,61 @@ def _(s, d):
 # ---------------------------------------------------------------------------------- scoring, optional
 
 
-def _scores(s, d, **kw):
-    p = papers(s, d)
-    return SC.score(p, lambda m=SC.train_ngrams(p): m, K.KEYS, **kw)
+def _scores(s, d, mix=SC.MIX, **kw):
+    p = durable(papers(s, d).select(*K.KEYS, "text_clean"))  # counted and scored
+    return SC.score(p, lambda m=SC.train_ngrams(p, mix=mix): m, K.KEYS, **kw)
+
+
+# the same bigram model in SQL: the 50,000 commonest words and pairs of all papers
+NGRAM = SENTROWS + (
+    ", tk AS (SELECT arxiv_id, year_group, part_no, string_split(lower(text_clean), ' ') AS w FROM papers), ti AS (SELECT arxiv_id, year_group, part_no, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM tk), tg AS (SELECT *, lag(b) OVER (PARTITION BY arxiv_id, year_group, part_no ORDER BY i) AS a FROM ti)"
+    ", un AS (SELECT b AS a, count(*) AS n FROM ti GROUP BY b ORDER BY n DESC, a LIMIT 50000), b0 AS (SELECT a, b, count(*) AS n FROM tg WHERE a IS NOT NULL GROUP BY a, b ORDER BY n DESC, a, b LIMIT 50000), bg AS (SELECT b0.* FROM b0 JOIN un x ON b0.a = x.a JOIN un y ON b0.b = y.a), vo AS (SELECT CAST(sum(n) AS DOUBLE) AS total, count(*) + 1 AS v FROM un)"
+)
+
+
+def _nll(rows: str, mix: float) -> str:
+    return f"SELECT r.*, -ln({mix} * coalesce(bg.n / CAST(ua.n AS DOUBLE), 0.0) + {1 - mix} * (coalesce(ub.n, 0) + 1) / (vo.total + vo.v)) AS nll FROM {rows} r CROSS JOIN vo LEFT JOIN un ua ON r.a = ua.a LEFT JOIN un ub ON r.b = ub.a LEFT JOIN bg ON r.a = bg.a AND r.b = bg.b WHERE r.a IS NOT NULL"
+
+
+DOC = NGRAM + f", dn AS ({_nll('tg', 0.7)}), ds AS (SELECT arxiv_id, year_group, part_no, sum(nll) / count(*) AS lp, count(*) AS n, sum(nll) FILTER (i <= 1024) AS head, sum(nll) FILTER (i > 1024) AS tail FROM dn GROUP BY ALL)"
+SENT_SCORES = DOC + (
+    ", sw AS (SELECT arxiv_id, year_group, part_no, pos, list_filter(string_split(regexp_replace(lower(sentence), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM sr), st2 AS (SELECT arxiv_id, year_group, part_no, pos, unnest(w) AS b, generate_subscripts(w, 1) AS i FROM sw WHERE len(w) >= 5), sg AS (SELECT *, lag(b) OVER (PARTITION BY arxiv_id, year_group, part_no, pos ORDER BY i) AS a FROM st2 WHERE i <= 1024)"
+    f", sn AS ({_nll('sg', 0.7)}), ss2 AS (SELECT arxiv_id, year_group, part_no, pos, avg(nll) AS m FROM sn GROUP BY ALL), sb AS (SELECT arxiv_id, year_group, part_no, stddev_samp(m) AS std, stddev_samp(m) / nullif(avg(m), 0) AS cv, count(*) AS k FROM ss2 GROUP BY ALL)"
+)
+_ROWS = "arxiv_id, year_group, part_no"
 
 
-@query("M4_M6_A15_scores")
+@q(
+    "M4_M6_A15_scores",
+    f"SELECT {_ROWS}, round(lp, 6) AS log_perplexity, round(exp(round(lp, 6)), 3) AS perplexity, round(std, 6) AS burstiness_std, round(cv, 6) AS burstiness_cv, CAST(coalesce(k, 0) AS INTEGER) AS n_sentences_scored, CAST(n AS INTEGER) AS n_tokens_scored FROM ds LEFT JOIN sb USING ({_ROWS})",
+    SENT_SCORES,
+)
 def _(s, d):
-    return _scores(s, d)
+    return rounded(_scores(s, d)).withColumn("perplexity", F.round(F.exp("log_perplexity"), 3))
 
 
-@query("M5_per_sequence")
+@q(
+    "M5_per_sequence",
+    f"SELECT {_ROWS}, round(lp5, 6) AS log_perplexity, round(exp(round(lp5, 6)), 3) AS perplexity, CAST(NULL AS DOUBLE) AS burstiness_std, CAST(NULL AS DOUBLE) AS burstiness_cv, CAST(0 AS INTEGER) AS n_sentences_scored, CAST(n + 1 AS INTEGER) AS n_tokens_scored FROM (SELECT *, CASE WHEN n + 1 <= 1024 THEN head / n ELSE (head / 1023.0 * 1024 + tail) / (n + 1) END AS lp5 FROM ds)",
+    DOC,
+)
 def _(s, d):
-    return _scores(s, d, doc_only=True, per_sequence=True)
+    return rounded(_scores(s, d, doc_only=True, per_sequence=True)).withColumn("perplexity", F.round(F.exp("log_perplexity"), 3))
 
 
-@query("M8_ratio")
+@q(
+    "M8_ratio",
+    f"SELECT {_ROWS}, round(x.lp, 6) AS base_log_ppl, round(y.lp, 6) AS instruct_log_ppl, round(x.lp / nullif(y.lp, 0), 6) AS binoculars_score FROM ds x JOIN (SELECT {_ROWS}, sum(nll) / count(*) AS lp FROM ({_nll('tg', 0.3)}) GROUP BY ALL) y USING ({_ROWS})",
+    DOC,
+)
 def _(s, d):
-    p = papers(s, d)
-    a, b = SC.train_ngrams(p), SC.train_ngrams(p, max_rows=200)
-    return SC.ratio(SC.score(p, lambda: a, K.KEYS, doc_only=True), SC.score(p, lambda: b, K.KEYS, doc_only=True), K.KEYS)
+    # two models of the same counts that lean on pairs and on single words
+    p = durable(papers(s, d).select(*K.KEYS, "text_clean"))
+    a, b = SC.train_ngrams(p), SC.train_ngrams(p, mix=0.3)
+    return rounded(SC.ratio(SC.score(p, lambda: a, K.KEYS, doc_only=True), SC.score(p, lambda: b, K.KEYS, doc_only=True), K.KEYS))
 
 
-@query("A11_group_means")
+@q("A11_group_means", "SELECT year_group, round(avg(lp), 4) AS log_perplexity, round(avg(std), 4) AS burstiness_std, round(avg(cv), 4) AS burstiness_cv FROM (SELECT ds.*, std, cv FROM ds LEFT JOIN sb USING (arxiv_id, year_group, part_no)) GROUP BY year_group", SENT_SCORES)
 def _(s, d):
     return rounded(_scores(s, d).groupBy("year_group").agg(*[F.avg(c).alias(c) for c in ("log_perplexity", "burstiness_std", "burstiness_cv")]), 4)
 

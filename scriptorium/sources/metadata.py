@@ -3,7 +3,7 @@ harvest itself as a Python data source."""
 
 from __future__ import annotations
 
-import os
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -34,6 +34,31 @@ def load_snapshot(spark: SparkSession, path: str, start: str, end: str, prefix:
     )
 
 
+def load_metadata(spark: SparkSession, cache: str | None = None, snapshot: str | None = None, start: str = "1991-01-01", end: str = "2100-01-01", prefix: str = "cs", url: str | None = None) -> DataFrame:
+    """Metadata from the cache if there is one, else from the raw snapshot, else from the harvest; what was
+    not cached is written to the cache, if one is named, and read from there."""
+    if cache and exists(spark, cache):
+        return load_cache(spark, cache)
+    if snapshot:
+        m = load_snapshot(spark, snapshot, start, end, prefix)
+    elif url:
+        m = harvest(spark, url, start, end, prefix)
+    else:
+        raise ValueError("no cache, no snapshot and no address to harvest")
+    if not cache:
+        return m
+    m.write.mode("error").json(cache)
+    return load_cache(spark, cache)
+
+
+def harvest(spark: SparkSession, url: str, start: str, end: str, prefix: str = "cs", delay: float = 3) -> DataFrame:
+    """SC1 to SC3: the paged harvest, parsed; records of other categories are left out."""
+    spark.dataSource.register(Harvest)
+    pages = spark.read.format("harvest").option("url", url).option("from", start).option("until", end).option("set", prefix).option("delay", delay).load()
+    m = parse_records(pages)
+    return m.filter(R.in_category(F.col("categories"), prefix))
+
+
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """SC5: cached metadata; a missing file is empty, bad lines and lines without an id are skipped."""
     if not exists(spark, path):
@@ -82,8 +107,6 @@ class _HarvestReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
-        import re
-
         base, delay = self.o["url"], float(self.o.get("delay", 3))
         params = {"verb": "ListRecords", "metadataPrefix": self.o.get("prefix", "arXivRaw"), "set": self.o.get("set", "cs")}
         params |= {k: self.o[k] for k in ("from", "until") if k in self.o}
@@ -115,10 +138,29 @@ def fetch(url: str, tries: int = 3, timeout: float = 60, wait: float = 5) -> byt
     raise RuntimeError("unreachable")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): the one Spark itself reads and writes for this path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path of any file system Spark knows has something."""
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a path has something, on the file system Spark reads it from (with or without a scheme)."""
+    p, fs = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """The newest complete version folder under path; one without its mark of success is not looked at."""
+    p, fs = filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    done = [n for n in names if re.fullmatch(r"v=\d{8}", n) and exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")]
+    return f"{path.rstrip('/')}/{max(done)}" if done else None
+
+
+def next_version(spark: SparkSession, path: str) -> str:
+    """A folder for the version after the newest complete one."""
+    last = latest_version(spark, path)
+    return f"{path.rstrip('/')}/v={(int(last[-8:]) + 1 if last else 0):08d}"

@@ -32,8 +32,12 @@ def test_sections(spark):
 
 
 def test_includes_and_root(spark):
-    assert P.resolve({"a.tex": "x \\input{b} y", "d/b.tex": "B\\include{c}", "d/c.tex": "C"}, "a.tex") == "x BC y"
-    assert P.resolve({"a.tex": "\\input{a}"}, "a.tex") == "" and P.resolve({}, "z") == ""
+    rows = [("1", "a.tex", "\\documentclass{a}x \\input{b} y"), ("1", "d/b.tex", "B\\include{c}\\input{ c.tex }"), ("1", "d/c.tex", "C"), ("2", "a.tex", "q\\input{a}\\input{gone}r"), ("3", "m.tex", "\\input{./s/n}\\input{s/n}"), ("3", "s/n.tex", "\\input{k}"), ("3", "t/k.tex", "deep"), ("4", "z.tex", None)]
+    rows += [("5", "r.tex", "\\documentclass{a}0\\input{f1}")] + [("5", f"f{k}.tex", f"{k}\\input{{f{k + 1}}}") for k in range(1, 14)]
+    t = {r.arxiv_id: r.text for r in P.assemble(spark.createDataFrame(rows, "arxiv_id string, path string, text string")).collect()}
+    assert t["1"] == "\\documentclass{a}x BCC y" and t["2"] == "qr" and t["3"] == "deepdeep" and t["4"] == ""
+    # ten levels are put in place, what they include stays as it is written
+    assert t["5"].startswith("\\documentclass{a}0123456789") and t["5"].endswith("10\\input{f11}")
     f = spark.createDataFrame([("p", "zz.tex", "long text but no class"), ("p", "main.tex", "short"), ("q", "b.tex", "x" * 9), ("q", "a.tex", "x" * 9)], "arxiv_id string, path string, text string")
     assert {r.arxiv_id: r.root for r in P.root_file(f).collect()} == {"p": "main.tex", "q": "a.tex"}
 
@@ -70,8 +74,11 @@ def test_joins(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "arxiv_id string, v int")
     new = spark.createDataFrame([("b", 2), ("b", 3)], "arxiv_id string, v int")
     assert sorted(tuple(r) for r in R.merge_records(old, new).collect()) == [("a", 1), ("b", 2), ("b", 3)]
+    twice = spark.createDataFrame([("a", 1.0, None), ("a", 1.0, None), ("b", None, "x")], "arxiv_id string, m double, t string")
+    assert sorted((r.arxiv_id, r.m, r.t) for r in R.left_metrics(p, twice, ["arxiv_id"]).collect() if r.arxiv_id != "c") == [("a", 1.0, None), ("b", None, "x")]
     doubled = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "arxiv_id string, m double")
-    assert R.left_metrics(p, doubled, ["arxiv_id"]).count() == 4
+    with pytest.raises(Exception, match="several rows for a"):
+        R.left_metrics(p, doubled, ["arxiv_id"]).collect()
 
 
 def test_sources(spark, tmp_path):
@@ -112,13 +119,128 @@ def test_pipeline_run_is_resumable(spark, tmp_path):
     c = Config(output=str(tmp_path / "o"), progress=str(tmp_path / "pr"), text_export=str(tmp_path / "txt"))
     assert Pipeline(spark, c).run(meta, src).count() == 1
     assert Pipeline(spark, c).run(meta, src).count() == 0
-    rec = spark.read.schema(PAPER_RECORD).parquet(c.output).collect()
+    rec = FS.existing_records(spark, c.output).collect()
     assert len(rec) == 1 and rec[0].extraction_success and "<cit.>" in rec[0].related_work
     assert len(list((tmp_path / "txt" / "p").glob("*.txt"))) == 2
+    # a version that was never finished is not read, and not built upon
+    sinks.write_records(spark.createDataFrame([], PAPER_RECORD), c.output + "/v=00000007", "snappy")
+    (tmp_path / "o" / "v=00000007" / "_SUCCESS").unlink()
+    assert FS.existing_records(spark, c.output).count() == 1 and MD.next_version(spark, c.output).endswith("v=00000002")
     st = {r.status: r["count"] for r in convert(spark, src, str(tmp_path / "c")).collect()}
     assert st == {"succeeded": 1} and len(list((tmp_path / "c" / "p").glob("*.txt"))) == 4
 
 
+def test_existing_output_is_found_on_the_default_file_system(spark, tmp_path):
+    """A path without a scheme is the one Spark writes to, not the driver's disk as such."""
+    (tmp_path / "x").mkdir()
+    assert MD.exists(spark, str(tmp_path / "x")) and MD.exists(spark, f"file://{tmp_path}/x") and not MD.exists(spark, str(tmp_path / "y"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://nowhere/")
+        with pytest.raises(Exception):
+            MD.exists(spark, str(tmp_path / "x"))
+    finally:
+        conf.set("fs.defaultFS", old)
+
+
+def test_model_decides_what_rules_leave(spark):
+    rows = [(1, "p", "Related Work", "A"), (2, "p", "Overview", "earlier systems"), (3, "p", "Results", "ours"), (4, "p", "Odd", "fail"), (5, "q", "Overview", "earlier systems")]
+    s = spark.createDataFrame([(a, b, c, d, a) for a, b, c, d in rows], "section_id long, arxiv_id string, heading string, content string, section_order int")
+
+    def make():
+        def call(prompt):
+            if "fail" in prompt:
+                raise OSError("no answer")
+            return '{"section_type": "related_work", "confidence": 0.6}' if "earlier" in prompt else "no JSON"
+
+        return call
+
+    got = {r.section_id: (r.section_type, r.confidence, r.method) for r in R.classify_sections(R.model_sections(s, make, max_calls=3)).collect()}
+    assert got[1] == ("related_work", 1.0, "latex_parsed") and got[2] == ("related_work", 0.6, "llm_classified") and got[3] == ("other", 0.1, "llm_classified")
+    assert got[4] == ("other", 0.0, "latex_parsed") and got[5] == ("other", 0.0, "latex_parsed")
+    assert R.prompt(None, None) and len(R.prompt("h", "x" * 9000)) < 900
+    c = Config()
+    meta = spark.createDataFrame([("p", "T", ["x"], ["cs.A"], "cs.A", "2015-01-01", "u", None, None)], PAPER_METADATA)
+    assert Pipeline(spark, c, make).records(meta, s).first().related_work == "A\n\nearlier systems"
+
+
+def test_downloads_and_harvest(spark, tmp_path):
+    import http.server
+    import threading
+
+    asked = []
+    page = "<x><record><header><datestamp>2016-01-01</datestamp></header><metadata><arXivRaw><id>{i}</id><title>T</title><authors>A B</authors><categories>{c}</categories></arXivRaw></metadata></record>{t}</x>"
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.reply(False)
+
+        def do_GET(self):
+            self.reply(True)
+
+        def reply(self, body):
+            asked.append((self.command, self.path))
+            kind, data = "application/gzip", gzip.compress(b"\\section{A}")
+            if self.path.startswith("/oai"):
+                last = "resumptionToken" in self.path
+                kind, data = "text/xml", page.format(i=2 if last else 1, c="cs.A" if last else "math.X cs.B", t="" if last else "<resumptionToken>k</resumptionToken>").encode()
+            elif "none" in self.path:
+                self.send_response(404)
+                self.end_headers()
+                return
+            elif "pdf" in self.path:
+                kind = "application/pdf"
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            if body:
+                self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        ids = spark.createDataFrame([("a1",), ("none",), ("pdf",)], "arxiv_id string")
+        for _ in range(2):  # the second time all are staged
+            got = {r.arxiv_id: r.has_source for r in FS.download(spark, ids, base + "/{id}", str(tmp_path / "st"), parts=2, delay=0).collect()}
+            assert got == {"a1": True, "none": False, "pdf": False}
+        assert sorted(asked) == [("GET", "/a1"), ("HEAD", "/a1"), ("HEAD", "/none"), ("HEAD", "/pdf")]
+        files = FS.unpack(spark.read.parquet(str(tmp_path / "st")).filter("content is not null")).collect()
+        assert [(r.arxiv_id, r.path, r.text) for r in files] == [("a1", "main.tex", "\\section{A}")]
+        m = MD.load_metadata(spark, str(tmp_path / "cache"), url=base + "/oai", start="2015-01-01", end="2016-01-01")
+        assert sorted(r.arxiv_id for r in m.collect()) == ["1", "2"]
+        n = len(asked)
+        assert MD.load_metadata(spark, str(tmp_path / "cache"), url=base + "/oai").count() == 2 and len(asked) == n
+        assert list(FS.members("x", gzip.compress(b"\\section{A}" * 2000)[:60])) == []
+    finally:
+        server.shutdown()
+
+
+def test_scores_are_resumable(spark, tmp_path):
+    from scriptorium.plans import score
+
+    t = spark.createDataFrame([(f"p{k}", "2015", f"the cat {k} sat on the mat") for k in range(7)], "arxiv_id string, year_group string, text_clean string")
+    m = SC.train_ngrams(t)
+    out = str(tmp_path / "s")
+    # a run that stopped after two rows
+    sinks.append_scores(SC.score(t.filter("arxiv_id in ('p1', 'p2')"), lambda: m, score.KEYS), out + ".partial")
+    assert score.run(spark, t, out, lambda: m, block_rows=2) == 5
+    assert spark.read.option("header", True).csv(out).count() == 7 and not MD.exists(spark, out + ".partial")
+    assert score.run(spark, t, out, lambda: m) == 0
+    assert score.run(spark, t, str(tmp_path / "l"), lambda: m, limit=3) == 3
+
+
+def test_padded_batches():
+    ws = [[1], [1, 2, 3], [4, 5], [], [6, 7, 8, 9]]
+    got = list(SC.padded(ws, 2))
+    assert [r for rows, *_ in got for r in rows] == [2, 1, 4] and got[0][1:] == ([[4, 5, 0], [1, 2, 3]], [[1, 1, 0], [1, 1, 1]])
+    assert SC.choose_device(True, True) == "cuda" and SC.choose_device(False, True) == "mps" and SC.choose_device(False, False) == "cpu"
+
+
 def test_streaming_batches(spark, tmp_path):
     inp = tmp_path / "in"
     inp.mkdir()

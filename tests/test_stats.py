@@ -51,6 +51,17 @@ def test_fisher_is_a_probability(a, b, c, d):
     assert 0 <= S.fisher_two_sided(a, b, c, d) <= 1
 
 
+def test_marker_ratios(spark):
+    from scriptorium.plans import analytics as A
+
+    rows = [(f"p{i}", g, m, "t", 0.0, int(h)) for m, bits in (("both", "1010"), ("gone", "1000"), ("new", "0011"), ("none", "0000")) for i, (g, h) in enumerate(zip(("2015", "2015", "2025", "2025"), bits))]
+    d = spark.createDataFrame(rows, "arxiv_id string, year_group string, marker string, tier string, per1k double, has int")
+    # a share of 0 counts as 0.01 in the first cohort alone
+    assert {r.marker: r.ratio for r in A.prevalence(d).collect()} == {"both": 1.0, "gone": 0.0, "new": 10000.0, "none": 0.0}
+    t = {r.marker: r for r in S.marker_tests(d).collect()}
+    assert t["new"].odds_ratio == 0.0 and t["none"].odds_ratio is None and t["gone"].odds_ratio == math.inf and t["both"].odds_ratio == 1.0
+
+
 def test_corrections(spark):
     p = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.5,), (None,)], "p double")
     r = {x.p: x for x in S.benjamini_hochberg(S.bonferroni(p)).collect()}

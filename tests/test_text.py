@@ -52,6 +52,50 @@ def test_long_paper_comes_in_parts(spark):
     assert "\n\n".join(r.text for r in parts) == "\n\n".join(["x" * 100] * 20)
 
 
+def test_parts_count_as_one_paper(spark):
+    """Cohort features of a paper in parts are those of the paper in one piece."""
+    texts = ["The old method was shown <cit.>. It failed and failed again.", "Moreover the new one is notably good <cit.>, <cit.>.", "Moreover it works. The old method is not good."]
+    d = spark.createDataFrame([(k * 5000, "v", "2015", f"{k}.txt", t) for k, t in enumerate(texts)] + [(99, "w", None, "0.txt", texts[0])], "doc_id long, arxiv_id string, year_group string, filename string, raw_text string")
+
+    def papers(size):
+        p = K.concat_papers(d, part_chars=size)
+        return p.withColumn("text_clean", T.clean_text("text")).withColumn("n_ws_words", T.whitespace_words("text_clean"))
+
+    one, many = papers(10**6), papers(40)
+    assert one.count() == 2 and many.count() > 3
+    rows = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    for f in (K.structure, K.readability, K.lexical, K.sentence_features, A.marker_table, A.marker_score, A.citation_patterns):
+        assert rows(f(one)) == rows(f(many)), f.__name__
+    assert rows(A.features(one).drop("mattr")) == rows(A.features(many).drop("mattr"))
+
+
+def test_quantiles_from_histograms(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice([-3.5, 0.0, 1e-9, rnd.random(), rnd.randint(0, 5) * 1.0, 1e12])) for g in ("a", None, "b") for _ in range(rnd.randint(1, 80))] + [("n", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(qs))] for r in K.quantiles(d, "v", ["g"], qs).collect()}
+    for g in ("a", None, "b"):
+        x = sorted(v for h, v in rows if h == g)
+        want = [x[int(q * (len(x) - 1))] + (q * (len(x) - 1) % 1) * (x[min(len(x) - 1, int(q * (len(x) - 1)) + 1)] - x[int(q * (len(x) - 1))]) for q in qs]
+        assert got[g] == pytest.approx(want)
+    assert set(got) == {"a", None, "b"} and K.quantiles(d.limit(0), "v", ["g"], [0.5]).count() == 0
+
+
+def test_markers_are_counted_in_one_pass(spark):
+    from scriptorium.functions import markers as MK
+
+    text = "We Delve  into it; delves into. It is worth noting, notably, that cutting-edge and cutting edge work sheds light on a growing body of work. Noteworthy. unnotably"
+    d = spark.createDataFrame([("a", "2015", text, 20)], "arxiv_id string, year_group string, text_clean string, n_words int")
+    import re
+
+    got = {r.marker: r.cnt for r in MK.marker_rows(d, ["arxiv_id"]).collect()}
+    assert got == {m: len(re.findall(rx, text, re.I)) for m, _, rx in MK.MARKERS} and got["delve(s) into"] == 2 and got["cutting-edge"] == 2
+    assert {t for _, t, _ in MK.MARKERS} == {"high-confidence", "elevated-frequency"} and len(MK.MARKERS) == 24
+
+
 @pytest.mark.parametrize(
     "heading,kind",
     [("Related Work", "related_work"), ("RELATED WORKS", "related_work"), ("Literature Review", "related_work"), ("Prior Work", "related_work"), ("Introduction", "other"), ("", "other"), ("  state of the art ", "related_work")],
@@ -87,6 +131,12 @@ def test_cleaning_chain(spark):
     src = "See \\cite{a} in Fig.~\\ref{f} and $x^2$ with \\textbf{bold} text , 5\\% of \\emph{it} et al. (2023) [1, 2]..\n\n\n\n\\begin{figure}gone\\end{figure}End~here --- so."
     out = one(spark, src, M.clean_chain("x"))
     assert "bold" in out and "5% of it" in out and "gone" not in out and "et al" not in out and "2023" not in out and "\\" not in out and "—" in out
+    # fixed cases of single steps
+    for src, want in (
+        ("\\textsl{kept} \\text{gone}", "kept"), ("a \\frac{a}{b} c", "a c"), ("\\setlength{\\parskip}{2pt}x", "x"), ("see [1; 2] and (1850) and [ 3,4 ]", "see and and"), ("\\begin{center}[x] y\\end{center}", "[x] y"),
+        ("\\item [a] b", "b"), ("\\caption*{c}d", "d"), ("a\u00a0, b", "a, b"), ("a . . b,,c", "a. b,c"), ("et al", ""), ("\\citep*[see][p. 2]{a,b} ok", "ok"),
+    ):
+        assert one(spark, src, M.clean_chain("x")) == want, src
     assert M.render_one("Caf\\'e \\cite{x} \\\"{o} \\ref{y} \\ss") == "Café <cit.> ö <ref> ß"
     assert one(spark, None, M.clean_chain("x")) is None and one(spark, "", M.clean_chain("x")) == ""
     assert one(spark, "a % c\n50\\% b%x", M.strip_comments("x")) == "a \n50\\% b"
