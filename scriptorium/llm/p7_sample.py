@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.session import ship
+from scriptorium.session import is_small, ship
 
 SLICES = 256
+MAX_PLAN_ROWS = 100_000
 
 
 def year_key(c):
@@ -120,7 +121,9 @@ def category_counts(p: DataFrame) -> DataFrame:
 def draw(p: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """(plan_id, year_group, paper, row_key, rank): the sample of every plan."""
     s = plan.filter("seats > 0").select("plan_id", "year_group", "category", "seats")
-    return ranked(p, seed).join(F.broadcast(s), "category").filter("rank <= seats").select("plan_id", "year_group", "paper", "row_key", "rank")
+    # plans are a stated table; the join is a broadcast only if they are as few as that
+    s = F.broadcast(s) if is_small(s, MAX_PLAN_ROWS) else s
+    return ranked(p, seed).join(s, "category").filter("rank <= seats").select("plan_id", "year_group", "paper", "row_key", "rank")
 
 
 def report(sample: DataFrame, plan: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import p1_markup, p1_shared, p2_split, p3_names, p10_pii, p4_quality, p5_garbled, p6_level, p7_sample, p8_leak, p9_mix
-from scriptorium.session import table
+from scriptorium.session import durable, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,8 +213,10 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 # 9 -----------------------------------------------------------------------------------------------
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, written: bool = True) -> tuple[DataFrame, DataFrame]:
     counts = p9_mix.token_counts(table(spark, d, "documents"))
+    if written:  # tokens are counted once, for the rates and for what is drawn
+        counts = durable(counts)
     return counts, p9_mix.rates(counts, table(spark, d, "mix_weights"))
 
 
@@ -226,7 +228,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         WHERE w.target_share * w.total_tokens > w.max_repeats * coalesce(h.n, 0)""",
 )
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].filter("falls_short").select("plan_id", "source")
+    return _mix(spark, d, written=False)[1].filter("falls_short").select("plan_id", "source")
 
 
 @query("p9_mixture")
