@@ -53,7 +53,8 @@ def assemble(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     the including file, then as the end of any path, with and without .tex; ties go to the least path."""
     f = files.select("arxiv_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     root = root_file(f)
-    now = f.join(root, (f.arxiv_id == root.arxiv_id) & (f.path == root.root)).select(f.arxiv_id, F.array().cast("array<int>").alias("at"), "path", "text")
+    top = root.select("arxiv_id", F.col("root").alias("path"))
+    now = f.join(top, ["arxiv_id", "path"]).select("arxiv_id", F.array().cast("array<int>").alias("at"), "path", "text")
     done = None
     for depth in range(max_depth + 1):
         if depth == max_depth:  # deeper includes stay as they are written
