@@ -187,7 +187,18 @@ def p7_draw(spark: SparkSession, d: str) -> DataFrame:
     return p7_sample.draw(p, plan)
 
 
-@query("p7_report")
+@query(
+    "p7_report",
+    # the same seats by their definition: minimums first, then the smallest priorities of all open ranks
+    rf"""WITH have AS (SELECT category, count(*) AS n FROM ({PAPERS_SQL}) WHERE category IS NOT NULL AND paper IS NOT NULL GROUP BY category),
+        t AS (SELECT CAST(t.plan_id AS INTEGER) AS plan_id, t.year_group, {YEAR_SQL.format(c="t.year_group")} AS category, t.target_share, CAST(t.min_papers AS INTEGER) AS min_papers, max(t.sample_size) OVER (PARTITION BY t.plan_id) AS size, coalesce(h.n, 0) AS n FROM sample_targets t LEFT JOIN have h ON h.category = {YEAR_SQL.format(c="t.year_group")}),
+        f AS (SELECT *, least(n, greatest(0, coalesce(min_papers, 0))) AS least_ FROM t),
+        r AS (SELECT plan_id, year_group, category, unnest(range(least_ + 1, n + 1)) AS rank_, target_share FROM f WHERE target_share > 0),
+        p AS (SELECT plan_id, year_group, row_number() OVER (PARTITION BY plan_id ORDER BY (rank_ - 0.5) / target_share, category NULLS LAST) AS k FROM r),
+        g AS (SELECT p.plan_id, p.year_group, count(*) AS more FROM p JOIN (SELECT plan_id, max(size) - sum(least_) AS left_ FROM f GROUP BY plan_id) l ON p.plan_id = l.plan_id AND p.k <= l.left_ GROUP BY p.plan_id, p.year_group),
+        s AS (SELECT f.*, least_ + coalesce(more, 0) AS seats, greatest(coalesce(target_share, 0) * size, coalesce(min_papers, 0)) AS need FROM f LEFT JOIN g USING (plan_id, year_group))
+        SELECT plan_id, year_group, target_share, seats / nullif(sum(seats) OVER (PARTITION BY plan_id), 0) AS actual_share, min_papers, n AS n_papers, need, CAST(seats AS BIGINT) AS seats, CAST(seats AS BIGINT) AS drawn, need > n AS falls_short FROM s""",
+)
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     p, plan = _plan(spark, d)
     return p7_sample.report(p7_sample.draw(p, plan), plan)
