@@ -86,19 +86,6 @@ def gunning_fog(n_words: Column, n_sentences: Column, n_complex: Column) -> Colu
     return F.lit(0.4) * (F.try_divide(n_words, n_sentences) + F.lit(100.0) * F.try_divide(n_complex, n_words))
 
 
-def type_token_ratio(lower_words: Column) -> Column:
-    """X10."""
-    return F.try_divide(F.size(F.array_distinct(lower_words)), F.size(lower_words))
-
-
-def mattr_array(lower_words: Column, window: int = 50) -> Column:
-    """X11 for one array; meant for short texts. operators.lexical has the form for long ones."""
-    n = F.size(lower_words)
-    slices = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.size(F.array_distinct(F.slice(lower_words, i + 1, window))))
-    total = F.aggregate(slices, F.lit(0), lambda a, x: a + x)
-    return F.when(n < window, type_token_ratio(lower_words)).otherwise(total / (F.lit(float(window)) * (n - window + 1)))
-
-
 def alpha_ratio(clean: Column | str) -> Column:
     """Letters over non-blank characters; 0 for an empty text."""
     solid = F.length(F.regexp_replace(_c(clean), r"\s+", ""))

@@ -809,16 +809,56 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(F.filter(starts, lambda b: (b == 0) | (b + 512 < n))).cast("bigint").alias("n_windows"))
 
 
-@q(
-    "J1_J2_A16_left_metrics",
-    "SELECT count(*) AS n, count(n_events) AS covered FROM (SELECT meta_id, n_events FROM m LEFT JOIN latest USING (arxiv_id))",
-    f"{LATEST}, {META}",
-)
+@q("J1_J2_left_metrics", "SELECT meta_id, m.arxiv_id, latest.status, latest.n_events FROM m LEFT JOIN latest ON m.arxiv_id = latest.arxiv_id", f"{LATEST}, {META}")
+def _(s, d):
+    return R.left_metrics(_meta(s, d), R.latest_status(table(s, d, "progress_log")), ["arxiv_id"])
+
+
+@q("A16_coverage", "SELECT count(*) AS n, count(n_events) AS covered FROM (SELECT meta_id, n_events FROM m LEFT JOIN latest USING (arxiv_id))", f"{LATEST}, {META}")
 def _(s, d):
     j = R.left_metrics(_meta(s, d), R.latest_status(table(s, d, "progress_log")), ["arxiv_id"])
     return j.agg(F.count(F.lit(1)).alias("n"), F.count("n_events").alias("covered"))
 
 
+@q(
+    "F3_published_window",
+    "SELECT meta_id FROM (SELECT meta_id, CASE WHEN regexp_full_match(substring(published, 1, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN CAST(substring(published, 1, 10) AS DATE) + INTERVAL '630 minutes' END AS ts FROM paper_metadata) WHERE ts BETWEEN TIMESTAMP '2015-01-01' AND TIMESTAMP '2015-12-31'",
+)
+def _(s, d):
+    # the first version's time in the form of the snapshot, at half past ten of the day
+    day = F.to_date(F.when(F.substring("published", 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring("published", 1, 10)))
+    created = F.concat(F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 10:30:00 GMT"))
+    m = table(s, d, "paper_metadata").select("meta_id", F.array(F.struct(F.lit("v1").alias("version"), created.alias("created"))).alias("versions"))
+    return R.published_window(m, "2015-01-01", "2015-12-31").select("meta_id")
+
+
+@q(
+    "PJ3_author_parts",
+    "SELECT meta_id, list_filter(list_transform(list_filter(authors, lambda a: a IS NOT NULL AND contains(a, ' ')), lambda a: trim(trim(substring(a, strpos(a, ' ') + 1)) || ' ' || trim(substring(a, 1, strpos(a, ' ') - 1)))), lambda x: x <> '') AS names FROM paper_metadata",
+)
+def _(s, d):
+    # every author as the parts before and after the first blank, taken for family and given name
+    parts = F.transform("authors", lambda a: F.when(a.isNull(), F.array().cast("array<string>")).otherwise(F.split(a, " ", 2)))
+    return table(s, d, "paper_metadata").select("meta_id", R.parse_author_parts(parts).alias("names"))
+
+
+@q(
+    "P6_numbered_sections",
+    r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS section_order, heading, content FROM (SELECT doc_id, 1 AS k, 'Introduction' AS heading, regexp_replace(substring(t, 1, 300), '^\s+|\s+$', '', 'g') AS content FROM x UNION ALL SELECT doc_id, 2, 'Prior Art', regexp_replace(substring(t, 301), '^\s+|\s+$', '', 'g') FROM x) WHERE content <> ''",
+    "x AS (SELECT doc_id, translate(text, '0123456789IVX\\', '##############') AS t FROM documents WHERE text IS NOT NULL)",
+)
+def _(s, d):
+    # no section commands, but numbered lines; digits of the texts themselves are masked
+    t = F.translate("text", "0123456789IVX\\", "##############")
+    doc = F.concat(F.lit("1. Introduction\n"), F.substring(t, 1, 300), F.lit("\nII Prior Art\n"), F.substring(t, F.lit(301), F.length(t)))
+    return P.sections(table(s, d, "documents").filter("text is not null").select("doc_id", doc.alias("text")), "doc_id").withColumnRenamed("order", "section_order")
+
+
+@q("F1_L5_first_papers", "SELECT meta_id, arxiv_id FROM (SELECT meta_id, arxiv_id FROM paper_metadata WHERE len(list_filter(categories, lambda c: starts_with(c, 'cs.'))) > 0 ORDER BY arxiv_id, meta_id LIMIT 100)")
+def _(s, d):
+    return table(s, d, "paper_metadata").filter(R.in_category(F.col("categories"))).select("meta_id", "arxiv_id").orderBy("arxiv_id", "meta_id").limit(100)
+
+
 @q("J9_SC13_manifest_texts", "SELECT c.corpus_id, p.arxiv_id, p.year_group, p.part_no, p.n_ws_words FROM (SELECT corpus_id, " + ID.format("arxiv_id") + " AS arxiv_id, year_group FROM corpus_records) c JOIN papers p ON c.arxiv_id = p.arxiv_id AND c.year_group = p.year_group", PAPERS)
 def _(s, d):
     m = table(s, d, "corpus_records").select("corpus_id", K.canonical_id("arxiv_id").alias("arxiv_id"), "year_group")

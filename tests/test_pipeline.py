@@ -254,6 +254,11 @@ def test_streaming_batches(spark, tmp_path):
     assert sorted((r.arxiv_id, r.v) for r in I.latest(spark, out).collect()) == [("a", 1), ("b", 2)]
 
 
+def test_status_windows(spark):
+    log = spark.createDataFrame([("completed", "2025-01-01 10:05:00"), ("completed", "2025-01-01 10:55:00"), ("failed_parse", "2025-01-01 11:00:00")], "status string, t string").withColumn("logged_at", F.to_timestamp("t"))
+    assert sorted((r.status, r.n) for r in I.status_stream(log).collect()) == [("completed", 2), ("failed_parse", 1)]
+
+
 def test_windows_and_scores(spark):
     for n in (0, 1, 2, 10, 1024, 1025, 3000):
         seen = [k for b, e, f in SC.windows(n) for k in range(f, e)]

@@ -37,12 +37,13 @@ def test_citation_patterns(spark, context, kind):
     assert one(spark, context, C.pattern(F.col("x"))) == kind
 
 
-def test_mattr_forms_agree(spark):
-    words = "a b a c d a".split()
-    arr = spark.createDataFrame([(words,)], "w array<string>").select(T.mattr_array(F.col("w"), 3).alias("m")).first().m
-    p = spark.createDataFrame([("p", "2015", 0, "aa bb aa cc dd aa")], "arxiv_id string, year_group string, part_no long, text_clean string")
-    assert arr == pytest.approx(11 / 12) and K.mattr(p, 3).first().mattr == pytest.approx(11 / 12)
-    assert K.word_features(p, 3).first().mattr == pytest.approx(11 / 12)
+def test_mattr_is_the_mean_over_windows(spark):
+    words = "aa bb aa cc dd aa aa bb cc".split()
+    for w in (3, 5, 9, 20):
+        spans = [words[i : i + w] for i in range(max(1, len(words) - w + 1))]
+        want = sum(len(set(x)) / len(x) for x in spans) / len(spans)
+        p = spark.createDataFrame([("p", "2015", 0, " ".join(words))], "arxiv_id string, year_group string, part_no long, text_clean string")
+        assert K.mattr(p, w).first().mattr == pytest.approx(want)
 
 
 def test_long_paper_comes_in_parts(spark):
