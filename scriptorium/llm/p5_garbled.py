@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from scriptorium.session import durable, is_small, ship
 
 ROUNDS = 20  # at most; the loop ends when the garbled mass moves by no more than TOLERANCE of it
-TOLERANCE = 0.002
+TOLERANCE = 0.02
 SHRINK = 50.0
 SLIGHT = -14.0
 CLEAN_PRIOR = 0.97
@@ -283,8 +283,14 @@ def estimate(tok: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE)
         # E-step: the posterior of each word in each field and source, by the chains' prior there: half of it the
         # overall one, half the source's own, shrunk to the overall one. A word that can only be clean needs no source.
         b = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])[F.col("chain")]
-        there = F.when(F.col("chain") == CLEAN, 1.0 - (F.col("g") + SHRINK * (1.0 - b)) / (F.col("total") + SHRINK)).otherwise((F.coalesce(F.try_element_at("w", F.col("chain")), F.lit(0.0)) + SHRINK * b) / (F.col("total") + SHRINK))
+        there = F.when(F.col("chain") == CLEAN, 1.0 - (F.col("g") + SHRINK * (1.0 - b)) / (F.col("total") + SHRINK)).otherwise((F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("w", F.col("chain")), F.lit(0.0)) - F.coalesce("self", F.lit(0.0))) + SHRINK * b) / (F.col("total") + SHRINK))
         loc = by_source.select("field", "source", "token", F.col("n").alias("m")).join(like.filter("open"), "token").join(own, ["field", "source"])
+        # a word is no evidence for itself: its own mass is taken out of its source's, else a frequent short word
+        # that could be garbled would talk itself into it
+        if local is None:
+            loc = loc.withColumn("self", F.lit(0.0))
+        else:
+            loc = loc.join(local.select("field", "source", "token", "chain", (F.col("m") * F.col("p")).alias("self")), ["field", "source", "token", "chain"], "left")
         loc = loc.withColumn("s", F.exp("ll") * (0.5 * b + 0.5 * F.greatest(there, F.lit(1e-12))))
         local = durable(loc.select("field", "source", "token", "m", "n", "chain", "original", (F.col("s") / F.sum("s").over(Window.partitionBy("field", "source", "token"))).alias("p")))
         pooled = local.groupBy("token", "n", "chain", "original").agg((F.sum(F.col("m") * F.col("p")) / F.first("n")).alias("post"))
