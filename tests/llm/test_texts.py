@@ -375,6 +375,33 @@ def trained():
     return p10_pii.learn(wins, given, family)
 
 
+def test_training_memory_does_not_grow_with_the_windows():
+    import tracemalloc
+
+    def peak(n):
+        rnd = np.random.default_rng(n)
+        x = rnd.integers(0, p10_pii.BUCKETS, (n, p10_pii.N_FEATURE)).astype(np.uint16)
+        y, start, skips = rnd.integers(0, p10_pii.N_LABEL, n), rnd.random(n) < 0.1, np.column_stack((rnd.integers(0, n, (n // 5, 2)), rnd.integers(0, 2, n // 5)))
+        tracemalloc.start()
+        p10_pii.fit(x, y, start, skips, rounds=1)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(200_000) < peak(20_000) + 40 * 180_000
+
+
+def test_training_in_blocks_gives_the_same_model(monkeypatch):
+    rnd = np.random.default_rng(3)
+    n = 500
+    x, y, start = rnd.integers(0, 90, (n, p10_pii.N_FEATURE)).astype(np.uint16), rnd.integers(0, p10_pii.N_LABEL, n), rnd.random(n) < 0.1
+    skips = np.column_stack((rnd.integers(0, n, (80, 2)), rnd.integers(0, 2, 80)))
+    whole = p10_pii.fit(x, y, start, skips)
+    monkeypatch.setattr(p10_pii, "FIT_TOKENS", 7)
+    parts = p10_pii.fit(x, y, start, skips)
+    assert all(np.allclose(getattr(whole, k), getattr(parts, k), atol=1e-4) for k in ("weights", "trans", "skip")) and np.abs(whole.skip).max() > 0.01
+
+
 def cut(text, names):
     data, off = tb.as_utf8(pa.array([text]))
     return [bytes(data[s:e]).decode("utf-8", "replace") for _, s, e in p10_pii.windows(data, off, names)]
