@@ -223,6 +223,43 @@ def test_levels_cover_all_grades(spark):
     assert {r.record_id for r in p6_level.young(lv).collect()} == set(range(20))
 
 
+def test_every_seed_text_counts(spark):
+    """A level whose texts have the highest hashes of a large table: a share by hash would leave them out."""
+    late = F.pmod(F.xxhash64("record_id"), F.lit(1 << 30)) > int(0.6 * (1 << 30))
+    ids = spark.range(60_000).select(F.col("id").alias("record_id"), late.alias("late"))
+    middle = [r.record_id for r in ids.filter("late").orderBy("record_id").limit(12).collect()]
+    text = F.when(F.col("record_id").isin(middle), MIDDLE * 3).when(F.col("record_id") % 2000 == 0, EASY * 4).when(F.col("record_id") % 2000 == 1, HARD * 4).otherwise("x y")
+    lv = p6_level.levels(ids.select("record_id", text.alias("t")), common(spark), "record_id", "t")
+    assert [r.grade for r in lv.filter(F.col("record_id").isin(middle)).collect()] == [10] * 12
+    assert lv.count() == 60_000
+
+
+def test_a_text_is_no_evidence_for_itself():
+    """The only seed of a level, of words that many texts of another level have too."""
+    own = np.repeat(np.arange(10), 45)
+    words, n = np.concatenate((np.arange(50), np.arange(10))), np.concatenate((np.full(50, 1000), np.full(10, 45)))
+    m = p6_level.Models(pa.table({"level": pa.array([1] * 50 + [3] * 10, pa.int32()), "word": words, "n": n, "docs": np.where(np.arange(60) % 50 == 0, 1, 0)}))
+    h, r = own.astype(np.uint64), np.zeros(450, int)
+    best = lambda seed: m.levels[m.score(h, r, 1, np.array([seed])).argmax()]
+    assert m.levels == [1, 3] and best(3) == 1 and best(-1) == 3
+
+
+def test_counts_in_parts_are_the_same(spark, monkeypatch):
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([t * 4])], names=["_text"]) for t in (EASY, HARD, MIDDLE) * 5])
+
+    def counts():
+        total = {}
+        for b in p6_level._seed_counts(WORDS)(batches()):
+            for k, w, n, docs in zip(*(b[c].to_pylist() for c in ("level", "word", "n", "docs"))):
+                total[k, w] = total.get((k, w), 0) + n
+                total[k] = total.get(k, 0) + docs
+        return total
+
+    whole = counts()
+    monkeypatch.setattr(p6_level, "FLUSH_WORDS", 20)
+    assert counts() == whole and sum(n for k, n in whole.items() if isinstance(k, int)) == 15
+
+
 # ---------------------------------------------------------------------------------------- garbled
 
 
